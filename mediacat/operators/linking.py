@@ -17,6 +17,15 @@ _KEY = ["album", "key", "number"]
 _GROUP = ["album", "number", "ext"]
 
 
+def _text(column: Column) -> Column:
+    """The same text, marked as never NULL.
+
+    A join on a nullable key makes Spark repeat the key's whole expression in a filter
+    below the join; a key that cannot be NULL is computed once.
+    """
+    return F.coalesce(column, F.lit(""))
+
+
 # --- exact phases ------------------------------------------------------------------
 
 def _with_probes(
@@ -66,8 +75,8 @@ def sidecar_index(sidecars: DataFrame) -> DataFrame:
     """One row per (album, key, number) that exactly one sidecar has."""
     keyed = sidecars.select(
         "album",
-        names.sidecar_key(F.col("filename"), F.col("extension")).alias("key"),
-        F.col("numeric_suffix").alias("number"),
+        _text(names.sidecar_key(F.col("filename"), F.col("extension"))).alias("key"),
+        _text(F.col("numeric_suffix")).alias("number"),
         "path",
     )
     return (
@@ -123,9 +132,9 @@ def _prefix_media(media: DataFrame) -> DataFrame:
     ).select(
         "path",
         "album",
-        F.coalesce(names.numeric_suffix(plain), F.lit("")).alias("number"),
-        names.ext_key(F.col("low")).alias("ext"),
-        names.drop_numeric(plain).alias("base"),
+        _text(names.numeric_suffix(plain)).alias("number"),
+        _text(names.ext_key(F.col("low"))).alias("ext"),
+        _text(names.drop_numeric(plain)).alias("base"),
     )
 
 
@@ -133,9 +142,9 @@ def _prefix_sidecars(sidecars: DataFrame) -> DataFrame:
     return sidecars.select(
         "path",
         "album",
-        F.col("numeric_suffix").alias("number"),
-        names.ext_key(F.col("extension")).alias("ext"),
-        F.col("filename").alias("base"),
+        _text(F.col("numeric_suffix")).alias("number"),
+        _text(names.ext_key(F.col("extension"))).alias("ext"),
+        _text(F.col("filename")).alias("base"),
     )
 
 
@@ -180,54 +189,63 @@ def prefix_edges(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     return shorter.unionByName(longer)
 
 
-def _targets(edges: DataFrame) -> DataFrame:
-    """Per media: the sidecar it would take now (NULL when none or several) and its edge count."""
+def _takers(edges: DataFrame) -> DataFrame:
+    """(media, take): the sidecar each media would take now, NULL when none or several."""
     def only(kind: int) -> Column:
         return F.min(F.when(F.col("kind") == kind, F.col("sidecar")))
 
-    per_media = edges.groupBy("media").agg(
-        F.count_if(F.col("kind") == 1).alias("n1"),
-        F.count_if(F.col("kind") == 2).alias("n2"),
-        only(1).alias("s1"),
-        only(2).alias("s2"),
-    )
-    take = F.when(F.col("n1") == 1, F.col("s1")).when(
-        (F.col("n1") == 0) & (F.col("n2") == 1), F.col("s2")
+    n1, n2 = F.col("n1"), F.col("n2")
+    take = F.when(n1 == 1, F.col("s1")).when((n1 == 0) & (n2 == 1), F.col("s2"))
+    return (
+        edges.groupBy("media")
+        .agg(
+            F.count_if(F.col("kind") == 1).alias("n1"),
+            F.count_if(F.col("kind") == 2).alias("n2"),
+            only(1).alias("s1"),
+            only(2).alias("s2"),
+        )
+        .select("media", take.alias("take"))
     )
-    return per_media.select("media", take.alias("take"), (F.col("n1") + F.col("n2")).alias("n"))
-
 
-def _earliest_loss(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per sidecar: a path before which nobody can take it (NULL row absent: never).
 
-    Starts from media that would take it now and spreads: a media whose own candidates
-    may be lost before its turn may then take any other of its candidates. Repeats until
-    nothing changes.
-    """
-    loss = checkpointed(
-        targets.filter(F.col("take").isNotNull())
+def _first_takers(takers: DataFrame) -> DataFrame:
+    """(sidecar, at): the first media in path order that would take each sidecar now."""
+    return (
+        takers.filter(F.col("take").isNotNull())
         .groupBy(F.col("take").alias("sidecar"))
         .agg(F.min("media").alias("at"))
     )
+
+
+def _shaken(edges: DataFrame, losses: DataFrame) -> DataFrame:
+    """Media with several candidates that may lose one of them before their turn."""
+    return (
+        edges.join(losses, "sidecar", "left")
+        .groupBy("media")
+        .agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter((F.col("first") < F.col("media")) & (F.col("n") > 1))
+        .select("media")
+    )
+
+
+def _earliest_losses(edges: DataFrame, losses: DataFrame) -> DataFrame:
+    """(sidecar, at): a path before which nobody can take the sidecar.
+
+    Starts from the first takers and spreads: a shaken media may take any other of its
+    candidates at its turn. Repeats until nothing changes.
+    """
     while True:
-        seen = edges.join(loss, "sidecar", "left")
-        shaken = (
-            seen.groupBy("media")
-            .agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-            .filter((F.col("first") < F.col("media")) & (F.col("n") > 1))
-            .select("media")
-        )
-        spread = (
-            seen.join(shaken, "media", "left_semi")
+        spread = checkpointed(
+            edges.join(_shaken(edges, losses), "media", "left_semi")
+            .join(losses, "sidecar", "left")
             .filter(F.col("at").isNull() | (F.col("media") < F.col("at")))
             .groupBy("sidecar")
             .agg(F.min("media").alias("at"))
         )
-        spread = checkpointed(spread)
         if spread.isEmpty():
-            return loss
-        loss = checkpointed(
-            loss.unionByName(spread).groupBy("sidecar").agg(F.min("at").alias("at"))
+            return losses
+        losses = checkpointed(
+            losses.unionByName(spread).groupBy("sidecar").agg(F.min("at").alias("at"))
         )
 
 
@@ -235,35 +253,34 @@ def assign_in_order(edges: DataFrame) -> DataFrame:
     """(media, sidecar): the outcome of media taking sidecars one by one in path order.
 
     At its turn a media takes its only free kind-1 candidate; with no free kind-1 it takes
-    its only free kind-2 candidate; otherwise it takes nothing. Rather than walking the
-    list, each round decides every media whose candidates cannot change before its turn;
-    what remains goes to the next round. Where every media has a single candidate, which
-    is the normal case, the first in path order gets it and no round is needed.
+    its only free kind-2 candidate; otherwise it takes nothing. Where no media with several
+    candidates can lose one before its turn, which is the normal case, each sidecar simply
+    goes to its first taker. Otherwise rounds follow: each decides every media whose
+    candidates cannot change before its turn, and the rest go to the next round.
     """
     edges = checkpointed(edges)
-    targets = _targets(edges)
-    if targets.filter(F.col("n") > 1).isEmpty():
-        return edges.groupBy("sidecar").agg(F.min("media").alias("media")).select("media", "sidecar")
-
     matched = None
     while True:
-        targets = checkpointed(_targets(edges))
-        loss = _earliest_loss(edges, targets)
+        takers = _takers(edges)
+        losses = _first_takers(takers)
+        firsts = losses.select(F.col("at").alias("media"), "sidecar")
+        if _shaken(edges, losses).isEmpty():
+            return firsts if matched is None else matched.unionByName(firsts)
+
+        losses = _earliest_losses(edges, checkpointed(losses))
         settled = (
-            edges.join(loss, "sidecar", "left")
+            edges.join(losses, "sidecar", "left")
             .groupBy("media")
             .agg(F.min("at").alias("first"))
             .filter(F.col("first").isNull() | (F.col("first") >= F.col("media")))
             .select("media")
         )
-        decided = checkpointed(targets.join(settled, "media", "left_semi").select("media", "take"))
+        decided = checkpointed(takers.join(settled, "media", "left_semi"))
         won = decided.filter(F.col("take").isNotNull()).withColumnRenamed("take", "sidecar")
         matched = won if matched is None else matched.unionByName(won)
         edges = checkpointed(
-            edges.join(decided, "media", "left_anti").join(won.select("sidecar"), "sidecar", "left_anti")
+            edges.join(decided, "media", "left_anti").join(won, "sidecar", "left_anti")
         )
-        if edges.isEmpty():
-            return matched
 
 
 def match_phase4(media: DataFrame, sidecars: DataFrame) -> DataFrame:

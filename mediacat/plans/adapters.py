@@ -157,39 +157,40 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inventory: media, sidecars, album metadata, temporary files and loose pages."""
+def files(spark: SparkSession, sf_dir: str, sizes: bool = True) -> DataFrame:
+    """The inventory: media, sidecars, album metadata, temporary files and loose pages.
+
+    Without ``sizes`` only the names are made and the texts are not read.
+    """
     doc = F.col("doc_id")
+    ten = F.lit(10).cast("bigint")
     text_size = F.octet_length("text").cast("bigint")
     json_size = F.octet_length(sidecar_text(doc, F.col("media_name"))).cast("bigint")
 
-    def entry(name: str, size: Column, album: Column | str = "album") -> Column:
-        folder = F.col(album) if isinstance(album, str) else album
-        return F.when(
-            F.col(name).isNotNull(),
-            F.struct(folder.alias("album"), F.col(name).alias("name"), size.alias("size")),
-        )
+    def entry(name: str, size: Column, folder: Column) -> Column:
+        fields = [folder.alias("album"), F.col(name).alias("name")]
+        return F.struct(*fields, size.alias("size")) if sizes else F.struct(*fields)
 
-    ten = F.lit(10).cast("bigint")
+    album = F.col("album")
     entries = F.array(
-        entry("media_name", text_size),
-        entry("sidecar_name", json_size),
-        entry("twin_name", json_size),
-        entry("junk_name", ten),
+        entry("media_name", text_size, album),
+        entry("sidecar_name", json_size, album),
+        entry("twin_name", json_size, album),
+        entry("junk_name", ten, album),
         entry("page_name", ten, F.lit("")),
-        entry("meta_name", ten),
+        entry("meta_name", ten, album),
     )
     listed = (
         shaped(table(spark, sf_dir, "documents"))
-        .select("doc_id", F.explode(entries).alias("e"))
-        .filter(F.col("e").isNotNull())
+        .select("doc_id", F.inline(entries))
+        .filter(F.col("name").isNotNull())
     )
-    folder, name = F.col("e.album"), F.col("e.name")
+    slash = F.when(album == "", F.lit("")).otherwise(F.lit("/"))
     return listed.select(
-        F.when(folder == "", name).otherwise(F.concat(folder, F.lit("/"), name)).alias("path"),
-        folder.alias("album"),
-        name.alias("name"),
-        F.col("e.size").alias("size"),
+        F.concat("album", slash, "name").alias("path"),
+        "album",
+        "name",
+        *(["size"] if sizes else []),
         F.timestamp_seconds(F.lit(1_500_000_000) + doc).alias("mtime"),
     )
 

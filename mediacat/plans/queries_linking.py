@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediacat.functions import ids, names
-from mediacat.operators import albums, files as file_ops, linking, reports, time_match
+from mediacat.operators import (
+    albums, files as file_ops, linking, media as media_ops, reports, time_match,
+)
 from mediacat.plans import adapters as a, oracle_tables as o
 from mediacat.plans.registry import query
 
 _LINK_TABLES = (o.SHAPED, o.MEDIA, o.SIDECARS, o.PARSED_NAMES, o.LINKED)
 
 
+def _names(spark, sf_dir):
+    return a.files(spark, sf_dir, sizes=False)
+
+
 def _media(spark, sf_dir):
-    return file_ops.media_files(a.files(spark, sf_dir))
+    return file_ops.media_files(_names(spark, sf_dir))
 
 
 def _sidecars(spark, sf_dir):
-    return file_ops.parse_sidecar_names(file_ops.sidecar_files(a.files(spark, sf_dir)))
+    return file_ops.parse_sidecar_names(file_ops.sidecar_files(_names(spark, sf_dir)))
 
 
 def _links(spark, sf_dir):
@@ -166,7 +172,7 @@ def orphan_sidecars(spark, sf_dir):
       WHERE kind = 'other' OR (kind = 'sidecar' AND path NOT IN
         (SELECT sidecar_path FROM links WHERE sidecar_path IS NOT NULL))"""))
 def unprocessed_files(spark, sf_dir):
-    return linking.unprocessed(a.files(spark, sf_dir), _links(spark, sf_dir))
+    return linking.unprocessed(_names(spark, sf_dir), _links(spark, sf_dir))
 
 
 _RATES = """count(*) AS media, count(*) FILTER (phase = 1) AS phase1, count(*) FILTER (phase = 2) AS phase2,
@@ -195,7 +201,7 @@ def match_statistics(spark, sf_dir):
         WHERE path NOT IN (SELECT sidecar_path FROM links WHERE sidecar_path IS NOT NULL)"""))
 def discovery_stats(spark, sf_dir):
     return reports.discovery_stats(
-        a.files(spark, sf_dir), _links(spark, sf_dir), _sidecars(spark, sf_dir)
+        _names(spark, sf_dir), _links(spark, sf_dir), _sidecars(spark, sf_dir)
     )
 
 
@@ -207,7 +213,7 @@ def discovery_stats(spark, sf_dir):
       (SELECT count(sidecar_path) FROM links) AS media_files_with_metadata
       FROM (SELECT {o.kind("album", "name")} AS kind FROM files)"""))
 def discovery_counters(spark, sf_dir):
-    return reports.discovery_counters(a.files(spark, sf_dir), _links(spark, sf_dir))
+    return reports.discovery_counters(_names(spark, sf_dir), _links(spark, sf_dir))
 
 
 @query("localized_edit_links", o.with_tables(
@@ -289,8 +295,6 @@ def time_matches(spark, sf_dir):
       FROM sidecars s JOIN media m ON m.doc_id = s.doc_id
       WHERE m.doc_id % 3 <> 1 AND s.doc_id % 41 <> 0 AND s.doc_id % 7 <= 3"""))
 def title_time_matches(spark, sf_dir):
-    from mediacat.operators import media as media_ops
-
     parsed = media_ops.parse_sidecars(a.sidecars(spark, sf_dir).filter(F.col("doc_id") % 7 <= 3))
     orphans = parsed.select(
         "path",
