@@ -108,10 +108,10 @@ MAX_FUTURE_DAYS = 365
 EPOCH_SECONDS_MIN, EPOCH_SECONDS_MAX = -62135596800, 253402300799
 # Patterns tried in this order against a file name: date and, where present, time.
 NAME_TIME_PATTERNS = [
-    r"(?:IMG|VID)_(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})",
-    r"(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})",
-    r"(\d{4})-(\d{2})-(\d{2})\s+(\d{2})\.(\d{2})\.(\d{2})",
-    r"(\d{4})-(\d{2})-(\d{2})",
+    r"(?:IMG|VID)_\d{8}_\d{6}",
+    r"\d{8}_\d{6}",
+    r"\d{4}-\d{2}-\d{2}\s+\d{2}\.\d{2}\.\d{2}",
+    r"\d{4}-\d{2}-\d{2}",
 ]
 
 # --- fixed values: tag names requested from the tag reader ----------------------

@@ -7,6 +7,14 @@ from pyspark.sql import Column, functions as F
 from mediacat.functions import times
 
 
+def _found(text: Column, pattern: str, group: int) -> Column:
+    """A group of a pattern, NULL where the pattern does not occur.
+
+    NULL rather than empty text, since a cast that fails is slow.
+    """
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
 def rational(value: Column) -> Column:
     """A number, or ``n/d`` as a fraction; a zero denominator gives NULL."""
     parts = F.split(value, "/")
@@ -33,7 +41,7 @@ def gps_text(text: Column) -> Column:
     pattern = r"""^(\d+) deg (\d+)' ([\d.]+)" ([NSEW])"""
 
     def group(index: int) -> Column:
-        return F.regexp_extract(text, pattern, index)
+        return _found(text, pattern, index)
 
     degrees = (
         group(1).try_cast("double")
@@ -47,7 +55,7 @@ def gps_text(text: Column) -> Column:
 
 def altitude_text(text: Column) -> Column:
     """Leading number, negative when the text says below."""
-    number = F.regexp_extract(text, r"^([\d.]+)", 1).try_cast("double")
+    number = _found(text, r"^([\d.]+)", 1).try_cast("double")
     return F.when(F.contains(F.lower(text), F.lit("below")), -number).otherwise(number)
 
 
@@ -78,7 +86,7 @@ def white_balance(value: Column) -> Column:
 
 def orientation(text: Column) -> Column:
     """First digits in the text."""
-    return F.regexp_extract(text, r"\d+", 0).try_cast("int")
+    return _found(text, r"\d+", 0).try_cast("int")
 
 
 def valid_orientation(value: Column) -> Column:
@@ -93,7 +101,7 @@ def frame_rate(text: Column) -> Column:
 
 def _label(text: Column, number_form) -> Column:
     """Tag readers print either the number or its meaning; numbers are spelled out."""
-    number = text.try_cast("bigint")
+    number = _found(text, r"^\s*(\d+)\s*$", 1).try_cast("bigint")
     return F.when(number.isNotNull(), number_form(number)).otherwise(text)
 
 

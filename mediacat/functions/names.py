@@ -210,7 +210,8 @@ def sidecar_key(filename: Column, extension: Column) -> Column:
 
 def album_year(folder: Column) -> Column:
     """Year of a folder named like ``Photos from 2019``, else NULL."""
-    year = F.regexp_extract(folder, fixed.YEAR_ALBUM_PATTERN, 1).try_cast("int")
+    digits = F.nullif(F.regexp_extract(folder, fixed.YEAR_ALBUM_PATTERN, 1), F.lit(""))
+    year = digits.cast("int")
     return F.when(year.between(fixed.YEAR_MIN, fixed.YEAR_MAX), year)
 
 

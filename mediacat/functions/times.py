@@ -35,22 +35,17 @@ def formatted_time(text: Column) -> Column:
     )
     spaced = F.regexp_replace(text, r"(?U)\s+", " ")
     local = F.regexp_replace(spaced, r"(?i) UTC\z", "")
-    parsed = F.coalesce(
-        F.try_to_timestamp(local, F.lit("MMM d, yyyy, h:mm:ss a")),
-        F.try_to_timestamp(local, F.lit("yyyy-M-d H:m:s")),
-    )
+    parsed = F.when(
+        F.regexp_like(local, F.lit(r"^\d")), F.try_to_timestamp(local, F.lit("yyyy-M-d H:m:s"))
+    ).otherwise(F.try_to_timestamp(local, F.lit("MMM d, yyyy, h:mm:ss a")))
     return F.when(is_iso, text).otherwise(iso_text(parsed))
 
 
 def _name_time(name: Column, pattern: str) -> Column:
-    def group(index: int) -> Column:
-        return F.regexp_extract(name, pattern, index).try_cast("int")
-
-    timed = pattern.count("(\\d") == 6
-    year, month, day = group(1), group(2), group(3)
-    hour, minute, second = (group(4), group(5), group(6)) if timed else (F.lit(0),) * 3
-    valid = (year >= 1) & (second <= 59)
-    return F.when(valid, F.try_make_timestamp(year, month, day, hour, minute, second))
+    # NULL where the pattern does not occur, so that only real candidates are parsed.
+    found = F.nullif(F.regexp_extract(name, pattern, 0), F.lit(""))
+    digits = F.rpad(F.regexp_replace(found, "[^0-9]", ""), 14, "0")
+    return F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss"))
 
 
 def filename_time(name: Column) -> Column:

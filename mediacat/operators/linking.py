@@ -31,7 +31,7 @@ def _text(column: Column) -> Column:
 def _with_probes(
     media: DataFrame, phases: tuple[int, ...], edit_marks: list[str] | None
 ) -> DataFrame:
-    """(path, album, phase, key, number): what each media file looks up in each phase.
+    """(path, album, name, phase, key, number): what each media file looks up per phase.
 
     Phase 1 is the name itself with its suffix in lower case and no number. Phase 2 is
     the name without its number, looked up with that number. Phase 3 is the name without
@@ -68,7 +68,7 @@ def _with_probes(
             for p in phases
         ]
     )
-    return feats.select("path", "album", F.inline(probes)).filter(F.col("key").isNotNull())
+    return feats.select("path", "album", "name", F.inline(probes)).filter(F.col("key").isNotNull())
 
 
 def sidecar_index(sidecars: DataFrame) -> DataFrame:
@@ -88,36 +88,45 @@ def sidecar_index(sidecars: DataFrame) -> DataFrame:
 
 
 def match_exact(
-    media: DataFrame,
-    sidecars: DataFrame,
-    phases: tuple[int, ...] = (1, 2, 3),
-    edit_marks: list[str] | None = None,
+    media: DataFrame, sidecars: DataFrame, edit_marks: list[str] | None = None
 ) -> DataFrame:
-    """(path, sidecar_path, phase) of the media that an exact phase links.
+    """Every media file (path, album, name) with the sidecar of the first phase that hits.
 
-    ``edit_marks`` adds localized edit marks to phase 3.
+    sidecar_path and phase are NULL where phases 1 to 3 find nothing. ``edit_marks``
+    replaces the edit marks of phase 3.
     """
-    hits = _with_probes(media, phases, edit_marks).join(sidecar_index(sidecars), _KEY)
-    if len(phases) == 1:
-        return hits.select("path", "sidecar_path", "phase")
-    best = F.min(F.struct("phase", "sidecar_path")).alias("best")
-    return hits.groupBy("path").agg(best).select(
-        "path", F.col("best.sidecar_path"), F.col("best.phase").alias("phase")
+    hit = F.when(F.col("sidecar_path").isNotNull(), F.struct("phase", "sidecar_path"))
+    return (
+        _with_probes(media, (1, 2, 3), edit_marks)
+        .join(sidecar_index(sidecars), _KEY, "left")
+        .groupBy("path", "album", "name")
+        .agg(F.min(hit).alias("best"))
+        .select(
+            "path", "album", "name", F.col("best.sidecar_path"), F.col("best.phase").alias("phase")
+        )
     )
 
 
+def _match_one(
+    media: DataFrame, sidecars: DataFrame, phase: int, edit_marks: list[str] | None = None
+) -> DataFrame:
+    """(path, sidecar_path, phase) of one exact phase alone."""
+    probes = _with_probes(media, (phase,), edit_marks)
+    return probes.join(sidecar_index(sidecars), _KEY).select("path", "sidecar_path", "phase")
+
+
 def match_phase1(media: DataFrame, sidecars: DataFrame) -> DataFrame:
-    return match_exact(media, sidecars, (1,))
+    return _match_one(media, sidecars, 1)
 
 
 def match_phase2(media: DataFrame, sidecars: DataFrame) -> DataFrame:
-    return match_exact(media, sidecars, (2,))
+    return _match_one(media, sidecars, 2)
 
 
 def match_phase3(
     media: DataFrame, sidecars: DataFrame, edit_marks: list[str] | None = None
 ) -> DataFrame:
-    return match_exact(media, sidecars, (3,), edit_marks)
+    return _match_one(media, sidecars, 3, edit_marks)
 
 
 # --- prefix phase -----------------------------------------------------------------------
@@ -179,7 +188,7 @@ def prefix_edges(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     Kind 1: the sidecar's name begins the media name or equals it. Kind 2: the media
     name begins a longer sidecar name. Number and extension must agree.
     """
-    m, s = _prefix_media(media), _prefix_sidecars(sidecars)
+    m, s = _prefix_media(media), checkpointed(_prefix_sidecars(sidecars))
     shorter = _prefix_pairs(m, s, strict=False).select(
         F.col("long").alias("media"), F.col("short").alias("sidecar"), F.lit(1).alias("kind")
     )
@@ -302,14 +311,15 @@ def link_sidecars(
     ``media`` has path, album and name; ``sidecars`` is the output of
     ``parse_sidecar_names``.
     """
-    media = media.select("path", "album", "name")
-    exact = checkpointed(match_exact(media, sidecars, edit_marks=edit_marks))
-    rest = media.join(exact, "path", "left_anti")
+    exact = checkpointed(match_exact(media, sidecars, edit_marks))
+    matched, rest = exact.filter("phase IS NOT NULL"), exact.filter("phase IS NULL")
     free = sidecars.join(
-        exact.select(F.col("sidecar_path").alias("path")), "path", "left_anti"
+        matched.select(F.col("sidecar_path").alias("path")), "path", "left_anti"
     )
-    links = exact.unionByName(match_phase4(rest, free))
-    return media.select("path", "album").join(links, "path", "left")
+    by_prefix = match_phase4(rest, free)
+    found = rest.select("path", "album").join(by_prefix, "path", "left")
+    columns = ["path", "album", "sidecar_path", "phase"]
+    return matched.select(*columns).unionByName(found.select(*columns))
 
 
 def orphan_media(links: DataFrame) -> DataFrame:

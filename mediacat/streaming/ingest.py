@@ -10,18 +10,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from mediacat.operators import rescan
 
 _BATCH = "batch_id"
 
 
+def _written(schema: StructType) -> list[StructField]:
+    """Columns of the change log."""
+    return [*schema.fields, StructField("change_type", StringType())]
+
+
 def read_changes(
     spark: SparkSession, location: str, schema: StructType, before: int | None = None
 ) -> DataFrame:
     """Rows written by batches (all, or those before one), with their batch number."""
-    fields = StructType(schema.fields).add("change_type", "string").add(_BATCH, "bigint")
+    fields = StructType([*_written(schema), StructField(_BATCH, LongType())])
     rows = spark.read.schema(fields).parquet(location)
     return rows if before is None else rows.filter(F.col(_BATCH) < before)
 
@@ -58,7 +63,7 @@ def ingest_stream(
     seen last.
     """
     schema = snapshot.schema
-    spark.createDataFrame([], StructType(schema.fields).add("change_type", "string")).write.mode(
+    spark.createDataFrame([], StructType(_written(schema))).write.mode(
         "append"
     ).parquet(f"{changes_location}/{_BATCH}=-1")
 
