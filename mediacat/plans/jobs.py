@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from mediacat.functions import names
 from mediacat.operators import (
     albums, archives, files as file_ops, linking, media, people, relations, reports, rescan, runs,
 )
-from mediacat.session import require_utc
+from mediacat.session import checkpointed, require_utc
 from mediacat.sources import archives as archive_source, content, inventory
 
 
@@ -145,6 +146,25 @@ def scan_report(
     )
 
 
+def _new_or_changed(
+    links: DataFrame, raw: DataFrame, base: str, stored: DataFrame, started: Column
+) -> DataFrame:
+    """Links of the files to read in full, judged by the ends of each file alone."""
+    ends = content.file_digests(links, base, checksum=False)
+    prints = media.parse_sidecars(raw).select(
+        F.col("path").alias("sidecar_path"), "sidecar_fingerprint"
+    )
+    scan = (
+        links.join(ends, "path")
+        .join(prints, "sidecar_path", "left")
+        .withColumn("relative_path", names.normalize_path(F.col("path")))
+    )
+    scan = checkpointed(scan.select(*links.columns, "relative_path", "content_fingerprint",
+                                    "sidecar_fingerprint"))
+    diff = rescan.rescan_diff(scan, stored, started)
+    return checkpointed(rescan.needs_processing(scan, diff).select(*links.columns))
+
+
 @dataclass
 class Scan:
     files: DataFrame
@@ -169,22 +189,36 @@ def scan_export(
     """A whole scan of an export folder: inventory, links, albums, records, run row."""
     require_utc(spark)
     base = inventory.scan_root(root)
-    files = inventory.file_inventory(spark, root)
+    # Listing folders and reading files are the dear steps; each is done once and kept.
+    files = checkpointed(inventory.file_inventory(spark, root))
     found = link_sidecars(files)
+    links = checkpointed(found.links)
     raw = content.sidecar_json(spark, base)
-    album_table = build_albums(
-        files, content.album_json(spark, base), stored_albums, scan_run_id, now
-    )
-    digests = content.file_digests(file_ops.media_files(files), base)
-    items = build_media(
-        files, found.links, raw, digests, exif_dump, probe_dump, album_table, scan_run_id, now
+    album_table = checkpointed(
+        build_albums(files, content.album_json(spark, base), stored_albums, scan_run_id, now)
     )
+    todo = links
     if stored_items is not None:
-        items = rescan_catalog(items, stored_items, scan_run_id, started, now).drop("change_type")
+        todo = _new_or_changed(links, raw, base, stored_items, started)
+    records = build_media(
+        files, todo, raw, content.file_digests(todo, base), exif_dump, probe_dump, album_table,
+        scan_run_id, now,
+    )
+    if stored_items is None:
+        items = checkpointed(records)
+    else:
+        same = links.join(todo.select("path"), "path", "left_anti").select(
+            names.normalize_path(F.col("path")).alias("relative_path")
+        )
+        unchanged = stored_items.join(same, "relative_path", "left_semi")
+        scan = records.unionByName(unchanged.select(*records.columns))
+        items = checkpointed(
+            rescan_catalog(scan, stored_items, scan_run_id, started, now).drop("change_type")
+        )
     parsed = media.parse_sidecars(raw)
-    linked = found.links.select(F.col("sidecar_path").alias("path"))
+    linked = links.select(F.col("sidecar_path").alias("path"))
     errors = media.sidecar_errors(parsed.join(linked, "path", "left_semi"), scan_run_id, now)
-    counters = reports.discovery_counters(files, found.links)
+    counters = reports.discovery_counters(files, links)
     run = runs.complete_run(
         runs.update_run(
             runs.start_run(spark, scan_run_id, started),
@@ -197,4 +231,4 @@ def scan_export(
         ),
         now,
     )
-    return Scan(files, found.links, album_table, items, errors, run)
+    return Scan(files, links, album_table, items, errors, run)

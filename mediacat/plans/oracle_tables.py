@@ -260,7 +260,7 @@ CATALOG = f"""catalog AS (
     sha256(encode(text)) AS content_fingerprint, text,
     CASE WHEN doc_id % 4 <> 0 THEN sha256('side' || doc_id) END AS sidecar_fingerprint,
     {OLD_SEEN} + CASE WHEN doc_id % 13 = 0 THEN {NEW_SEEN - OLD_SEEN} ELSE 0 END - doc_id % 100 AS first_seen,
-    CASE WHEN doc_id % 29 = 0 THEN {NEW_START - 10} ELSE {NEW_SEEN} END AS last_seen,
+    (CASE WHEN doc_id % 29 = 0 THEN {NEW_START - 10} ELSE {NEW_SEEN} END)::BIGINT AS last_seen,
     CASE WHEN doc_id % 10 = 9 THEN '{RUN_OLD}' ELSE '{RUN_NEW}' END AS scan_run_id,
     CASE WHEN doc_id % 17 = 0 THEN 'missing' WHEN doc_id % 37 = 0 THEN 'error' ELSE 'present' END AS status,
     {uuid5("path")} AS media_item_id
@@ -337,7 +337,7 @@ FOUND_ALBUMS = f"""found AS (
   SELECT 'Album ' || key AS album_folder_path,
     CASE WHEN key % 3 <> 0 THEN 'Title ' || key END AS title,
     CASE WHEN key % 5 = 0 THEN 'described' END AS description,
-    CASE WHEN key % 7 = 0 THEN {OLD_START} END AS created,
+    (CASE WHEN key % 7 = 0 THEN {OLD_START} END)::BIGINT AS created,
     CASE WHEN key % 11 = 0 THEN 'error' ELSE 'present' END AS status
   FROM (SELECT c_custkey + 100 AS key FROM customer WHERE c_custkey % 2 = 0)
 )"""

@@ -408,8 +408,8 @@ def album_years(spark, sf_dir):
     o.ALBUMS, o.FOUND_ALBUMS, select=f"""SELECT album_folder_path, coalesce(f.title, s.title) AS title,
       coalesce(f.description, s.description) AS description, f.created, s.access_level,
       coalesce(f.status, s.status) AS status,
-      CASE WHEN s.album_folder_path IS NULL THEN {NEW_SEEN} ELSE {OLD_SEEN} END AS first_seen,
-      CASE WHEN f.album_folder_path IS NULL THEN {OLD_SEEN} ELSE {NEW_SEEN} END AS last_seen,
+      (CASE WHEN s.album_folder_path IS NULL THEN {NEW_SEEN} ELSE {OLD_SEEN} END)::BIGINT AS first_seen,
+      (CASE WHEN f.album_folder_path IS NULL THEN {OLD_SEEN} ELSE {NEW_SEEN} END)::BIGINT AS last_seen,
       CASE WHEN f.album_folder_path IS NULL THEN s.scan_run_id ELSE '{RUN_NEW}' END AS scan_run_id
       FROM found f FULL JOIN stored s USING (album_folder_path)"""))
 def albums_upserted(spark, sf_dir):

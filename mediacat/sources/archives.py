@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from mediacat import schemas
+from mediacat.sources.content import spread_tasks
 
 _BATCH = 10_000
 
 
-def archive_manifest(archives: DataFrame, root: str) -> DataFrame:
+def archive_manifest(archives: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
     """(archive, format, member, size, crc32) of listed archives.
 
     Archives are spread over the tasks and their members streamed; only zip members
@@ -47,5 +48,5 @@ def archive_manifest(archives: DataFrame, root: str) -> DataFrame:
                     continue
         yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64", "crc32": "Int64"})
 
-    spread = archives.select("path", "format").repartition("path")
+    spread = archives.select("path", "format").repartition(spread_tasks(archives, tasks), "path")
     return spread.mapInPandas(listing, schemas.ARCHIVE_MANIFEST)

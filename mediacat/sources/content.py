@@ -31,18 +31,28 @@ def file_content(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
     return files.select(_relative(F.col("path"), root).alias("path"), "content")
 
 
+def spread_tasks(df: DataFrame, tasks: int | None) -> int:
+    """Number of tasks for work whose rows are small and whose files are not."""
+    return tasks or 8 * df.sparkSession.sparkContext.defaultParallelism
+
+
 def _relative(path: Column, root: str) -> Column:
     """Path below ``root`` of the URI a Spark reader reports."""
     plain = F.url_decode(F.replace(F.regexp_replace(path, r"^file:/*", "/"), F.lit("+"), F.lit("%2B")))
     return F.substring(plain, F.lit(len(os.path.abspath(root)) + 2), F.length(plain))
 
 
-def file_digests(files: DataFrame, root: str) -> DataFrame:
+def file_digests(
+    files: DataFrame, root: str, checksum: bool = True, tasks: int | None = None
+) -> DataFrame:
     """(path, size, crc32, content_fingerprint, mime_type) of listed files of any size.
 
     Each task reads its files in pieces: all bytes for the checksum, the first and last
-    64 KiB for the fingerprint, the first few for the type. A file that cannot be read
-    gives NULLs.
+    64 KiB for the fingerprint, the first few for the type. Without ``checksum`` only
+    those ends are read and crc32 is NULL. A file that cannot be read gives NULLs.
+
+    The paths are spread over ``tasks`` tasks first (eight per core unless given), since
+    a listing has one partition per album and one album may hold most of the files.
     """
     head, tail = fixed.FINGERPRINT_HEAD_BYTES, fixed.FINGERPRINT_TAIL_BYTES
     magic, chunk = fixed.MAGIC_HEAD_BYTES, _CHUNK
@@ -53,13 +63,14 @@ def file_digests(files: DataFrame, root: str) -> DataFrame:
                 size = os.fstat(handle.fileno()).st_size
                 start = handle.read(head + tail)
                 crc = zlib.crc32(start)
-                while piece := handle.read(chunk):
+                while checksum and (piece := handle.read(chunk)):
                     crc = zlib.crc32(piece, crc)
                 hashed = hashlib.sha256(start if size <= head + tail else start[:head])
                 if size > head + tail:
                     handle.seek(size - tail)
                     hashed.update(handle.read(tail))
-            return size, f"{crc:08x}", hashed.hexdigest(), start[:magic]
+            crc_text = f"{crc:08x}" if checksum else None
+            return size, crc_text, hashed.hexdigest(), start[:magic]
         except OSError:
             return None, None, None, None
 
@@ -70,7 +81,8 @@ def file_digests(files: DataFrame, root: str) -> DataFrame:
                 rows, columns=["path", "size", "crc32", "content_fingerprint", "head"]
             )
 
-    raw = files.select("path").mapInPandas(
+    spread = files.select("path").repartition(spread_tasks(files, tasks), "path")
+    raw = spread.mapInPandas(
         read, "path string, size bigint, crc32 string, content_fingerprint string, head binary"
     )
     return raw.select(
