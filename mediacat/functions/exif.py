@@ -21,7 +21,7 @@ def rational(value: Column) -> Column:
     top, bottom = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
     return (
         F.when(F.size(parts) == 1, value.try_cast("double"))
-        .when(F.size(parts) == 2, F.try_divide(top, bottom))
+        .when((F.size(parts) == 2) & (bottom != 0), top / bottom)
     )
 
 

@@ -18,16 +18,24 @@ def _names(spark, sf_dir):
     return a.files(spark, sf_dir, sizes=False)
 
 
-def _media(spark, sf_dir):
-    return file_ops.media_files(_names(spark, sf_dir))
+def _media_and_sidecars(spark, sf_dir):
+    files = _names(spark, sf_dir)
+    sidecars = file_ops.parse_sidecar_names(file_ops.sidecar_files(files))
+    return file_ops.media_files(files), sidecars
 
 
 def _sidecars(spark, sf_dir):
     return file_ops.parse_sidecar_names(file_ops.sidecar_files(_names(spark, sf_dir)))
 
 
+def _linked(files):
+    """(links, parsed sidecars) of one inventory."""
+    sidecars = file_ops.parse_sidecar_names(file_ops.sidecar_files(files))
+    return linking.link_sidecars(file_ops.media_files(files), sidecars), sidecars
+
+
 def _links(spark, sf_dir):
-    return linking.link_sidecars(_media(spark, sf_dir), _sidecars(spark, sf_dir))
+    return _linked(_names(spark, sf_dir))[0]
 
 
 @query("file_features", o.with_tables(
@@ -128,17 +136,17 @@ def _phase_sql(phase: int) -> str:
 
 @query("link_phase1", _phase_sql(1))
 def link_phase1(spark, sf_dir):
-    return linking.match_phase1(_media(spark, sf_dir), _sidecars(spark, sf_dir))
+    return linking.match_phase1(*_media_and_sidecars(spark, sf_dir))
 
 
 @query("link_phase2", _phase_sql(2))
 def link_phase2(spark, sf_dir):
-    return linking.match_phase2(_media(spark, sf_dir), _sidecars(spark, sf_dir))
+    return linking.match_phase2(*_media_and_sidecars(spark, sf_dir))
 
 
 @query("link_phase3", _phase_sql(3))
 def link_phase3(spark, sf_dir):
-    return linking.match_phase3(_media(spark, sf_dir), _sidecars(spark, sf_dir))
+    return linking.match_phase3(*_media_and_sidecars(spark, sf_dir))
 
 
 @query("link_phase4", o.with_tables(
@@ -163,7 +171,8 @@ def orphan_media(spark, sf_dir):
     *_LINK_TABLES, select="""SELECT path, album FROM sidecars
       WHERE path NOT IN (SELECT sidecar_path FROM links WHERE sidecar_path IS NOT NULL)"""))
 def orphan_sidecars(spark, sf_dir):
-    return linking.orphan_sidecars(_sidecars(spark, sf_dir), _links(spark, sf_dir))
+    links, sidecars = _linked(_names(spark, sf_dir))
+    return linking.orphan_sidecars(sidecars, links)
 
 
 @query("unprocessed_files", o.with_tables(
@@ -172,7 +181,8 @@ def orphan_sidecars(spark, sf_dir):
       WHERE kind = 'other' OR (kind = 'sidecar' AND path NOT IN
         (SELECT sidecar_path FROM links WHERE sidecar_path IS NOT NULL))"""))
 def unprocessed_files(spark, sf_dir):
-    return linking.unprocessed(_names(spark, sf_dir), _links(spark, sf_dir))
+    files = _names(spark, sf_dir)
+    return linking.unprocessed(files, _linked(files)[0])
 
 
 _RATES = """count(*) AS media, count(*) FILTER (phase = 1) AS phase1, count(*) FILTER (phase = 2) AS phase2,
@@ -200,9 +210,9 @@ def match_statistics(spark, sf_dir):
       UNION ALL SELECT 'unmatched_sidecars', count(*) FROM sidecars
         WHERE path NOT IN (SELECT sidecar_path FROM links WHERE sidecar_path IS NOT NULL)"""))
 def discovery_stats(spark, sf_dir):
-    return reports.discovery_stats(
-        _names(spark, sf_dir), _links(spark, sf_dir), _sidecars(spark, sf_dir)
-    )
+    files = _names(spark, sf_dir)
+    links, sidecars = _linked(files)
+    return reports.discovery_stats(files, links, sidecars)
 
 
 @query("discovery_counters", o.with_tables(
@@ -213,7 +223,8 @@ def discovery_stats(spark, sf_dir):
       (SELECT count(sidecar_path) FROM links) AS media_files_with_metadata
       FROM (SELECT {o.kind("album", "name")} AS kind FROM files)"""))
 def discovery_counters(spark, sf_dir):
-    return reports.discovery_counters(_names(spark, sf_dir), _links(spark, sf_dir))
+    files = _names(spark, sf_dir)
+    return reports.discovery_counters(files, _linked(files)[0])
 
 
 @query("localized_edit_links", o.with_tables(

@@ -7,11 +7,27 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings the operators rely on, all of which can change while a session runs.
+#
+# Times are written as UTC text. The method limit is the size above which HotSpot no
+# longer compiles a method: an operator over it is generated in pieces instead, which
+# the many-column projections here need.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def apply_settings(spark: SparkSession) -> SparkSession:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app_name: str = "mediacat", master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings the operators rely on (UTC above all)."""
+    """A session with ``SETTINGS`` and adaptive execution."""
     builder = (
         SparkSession.builder.appName(app_name)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -21,7 +37,7 @@ def build_session(app_name: str = "mediacat", master: str | None = None, **conf)
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return apply_settings(builder.getOrCreate())
 
 
 def require_utc(spark: SparkSession) -> None:
