@@ -400,23 +400,23 @@ def match_alternative(
         names.suffix_in_name(F.col("stem"), F.col("any_number")), F.col("any_path")
     )
     several = F.when(F.col("n_bare") == 1, F.col("bare_path"))
-    keyed = wanted.join(by_key, ["album", "key"], "left").select(
-        "path", "album", "number",
-        F.col("n").isNotNull().alias("settled"),
-        F.when(F.col("n") == 1, single).when(F.col("n") > 1, several).alias("keyed_path"),
+    # Rows without a key or a number take no part in the join on it: as NULLs they would
+    # all go to one task.
+    keyed = wanted.filter(F.col("key").isNotNull()).join(by_key, ["album", "key"], "left")
+    settled = keyed.filter(F.col("n").isNotNull()).select(
+        "path", F.when(F.col("n") == 1, single).otherwise(several).alias("sidecar_path")
+    )
+    columns = ["path", "album", "number"]
+    open_media = (
+        keyed.filter(F.col("n").isNull())
+        .select(*columns)
+        .unionByName(wanted.filter(F.col("key").isNull()).select(*columns))
+        .filter(F.col("number").isNotNull())
     )
     by_number = (
         sidecars.filter(~bare)
         .groupBy("album", F.col("numeric_suffix").alias("number"))
-        .agg(F.min("path").alias("number_path"))
-    )
-    return (
-        keyed.join(by_number, ["album", "number"], "left")
-        .select(
-            "path",
-            F.when(F.col("settled"), F.col("keyed_path"))
-            .otherwise(F.col("number_path"))
-            .alias("sidecar_path"),
-        )
-        .filter(F.col("sidecar_path").isNotNull())
+        .agg(F.min("path").alias("sidecar_path"))
     )
+    numbered = open_media.join(by_number, ["album", "number"]).select("path", "sidecar_path")
+    return settled.filter(F.col("sidecar_path").isNotNull()).unionByName(numbered)

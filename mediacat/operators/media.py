@@ -65,12 +65,21 @@ def merge_metadata(
     links: DataFrame, sidecars: DataFrame, tags: DataFrame, probes: DataFrame
 ) -> DataFrame:
     """Linked media with their sidecar, tag and probe columns side by side."""
-    json = sidecars.withColumnRenamed("path", "sidecar_path")
     return (
-        links.join(json, "sidecar_path", "left").join(tags, "path", "left").join(probes, "path", "left")
+        join_sidecars(links, sidecars).join(tags, "path", "left").join(probes, "path", "left")
     )
 
 
+def join_sidecars(links: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Every linked media file with the columns of its sidecar, NULL where it has none.
+
+    Media without sidecar join under their own path, which no sidecar has, so that they
+    do not all meet in one task as NULL keys would.
+    """
+    keyed = links.withColumn("joined", F.coalesce("sidecar_path", "path"))
+    return keyed.join(sidecars.withColumnRenamed("path", "joined"), "joined", "left").drop("joined")
+
+
 def media_record(
     merged: DataFrame,
     digests: DataFrame,

@@ -151,12 +151,10 @@ def _new_or_changed(
 ) -> DataFrame:
     """Links of the files to read in full, judged by the ends of each file alone."""
     ends = content.file_digests(links, base, checksum=False)
-    prints = media.parse_sidecars(raw).select(
-        F.col("path").alias("sidecar_path"), "sidecar_fingerprint"
-    )
+    prints = media.parse_sidecars(raw).select("path", "sidecar_fingerprint")
     scan = (
-        links.join(ends, "path")
-        .join(prints, "sidecar_path", "left")
+        media.join_sidecars(links, prints)
+        .join(ends, "path")
         .withColumn("relative_path", names.normalize_path(F.col("path")))
     )
     scan = checkpointed(scan.select(*links.columns, "relative_path", "content_fingerprint",

@@ -255,9 +255,18 @@ def uuid5(text: str) -> str:
     )
 
 
+
+def fingerprint(content: str) -> str:
+    """SHA-256 of a blob, or of its first and last 64 KiB (taken from its hex form)."""
+    return (
+        f"CASE WHEN octet_length({content}) <= 131072 THEN sha256({content})"
+        f" ELSE sha256(unhex(left(hex({content}), 131072) || right(hex({content}), 131072))) END"
+    )
+
+
 CATALOG = f"""catalog AS (
   SELECT path AS relative_path, strlen(text) AS file_size,
-    sha256(encode(text)) AS content_fingerprint, text,
+    {fingerprint("encode(text)")} AS content_fingerprint, text,
     CASE WHEN doc_id % 4 <> 0 THEN sha256('side' || doc_id) END AS sidecar_fingerprint,
     {OLD_SEEN} + CASE WHEN doc_id % 13 = 0 THEN {NEW_SEEN - OLD_SEEN} ELSE 0 END - doc_id % 100 AS first_seen,
     (CASE WHEN doc_id % 29 = 0 THEN {NEW_START - 10} ELSE {NEW_SEEN} END)::BIGINT AS last_seen,
@@ -268,7 +277,7 @@ CATALOG = f"""catalog AS (
 )"""
 
 RESCAN = f"""scan AS (
-  SELECT path AS relative_path, sha256(encode(text)) AS content_fingerprint, strlen(text) AS file_size,
+  SELECT path AS relative_path, {fingerprint("encode(text)")} AS content_fingerprint, strlen(text) AS file_size,
     sidecar_fingerprint
   FROM (
     SELECT CASE WHEN doc_id % 23 = 0 THEN path || '.new' ELSE path END AS path,

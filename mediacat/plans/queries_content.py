@@ -32,10 +32,8 @@ _CONTENT = """blobs AS (
 
 
 @query("content_fingerprints", o.with_tables(
-    _CONTENT, select="""SELECT path, octet_length(content) AS size,
-      CASE WHEN octet_length(content) <= 131072 THEN sha256(content)
-           ELSE sha256(unhex(left(hex(content), 131072) || right(hex(content), 131072)))
-      END AS content_fingerprint,
+    _CONTENT, select=f"""SELECT path, octet_length(content) AS size,
+      {o.fingerprint("content")} AS content_fingerprint,
       CASE path::BIGINT % 8 WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/png' WHEN 3 THEN 'video/mp4'
         WHEN 4 THEN 'image/gif' WHEN 5 THEN 'video/quicktime' WHEN 6 THEN 'image/tiff'
         ELSE 'application/octet-stream' END AS mime_type FROM blobs"""))
@@ -311,7 +309,7 @@ def exif_values(spark, sf_dir):
 
 _ITEM = """SELECT l.path AS relative_path,
     coalesce(nullif(s.json_title, ''), {stem}) AS title,
-    strlen(m.text) AS file_size, sha256(encode(m.text)) AS content_fingerprint,
+    strlen(m.text) AS file_size, {fingerprint} AS content_fingerprint,
     s.sidecar_fingerprint, s.json_description AS google_description,
     coalesce(p.video_width, t.exif_width) AS width, coalesce(p.video_height, t.exif_height) AS height,
     p.duration_seconds, p.frame_rate,
@@ -338,7 +336,7 @@ def _iso_sql(column: str) -> str:
 @query("media_items", o.with_tables(
     o.SHAPED, o.MEDIA, o.SIDECARS, o.PARSED_NAMES, o.LINKED, _PARSED, _TAGS, _PROBES,
     select=_ITEM.format(
-        stem=o.stem("m.name"), album_id=o.uuid5("l.album"),
+        stem=o.stem("m.name"), fingerprint=o.fingerprint("encode(m.text)"), album_id=o.uuid5("l.album"),
         media_id=o.uuid5("l.path || '|' || " + _iso_sql("s.taken") + " || '|' || strlen(m.text) || '|' || "
                          + _iso_sql("s.creation")))))
 def media_items(spark, sf_dir):
