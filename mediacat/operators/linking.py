@@ -364,25 +364,31 @@ def match_alternative(
     Media without such a key take the first sidecar in path order with their number.
     """
     marks = marks or fixed.EDITED_MARKS_LOCALIZED
-    name = F.col("name")
-    stem, low = names.stem(name), names.lower_suffix(name)
-    first_number = F.nullif(F.regexp_extract(stem, r"\(\p{Nd}+\)", 0), F.lit(""))
+    name, stem, plain = F.col("name"), F.col("stem"), F.col("plain")
+    ending = rf"(?isu)^(.*)(?:{'|'.join(marks)})\z"
 
-    plain = None
-    for mark in marks:
-        cut = F.when(
-            F.endswith(F.lower(stem), F.lit(mark)),
-            F.substring(stem, F.lit(1), F.length(stem) - len(mark)),
+    def first_number(text: Column) -> Column:
+        return F.regexp_extract(text, r"\(\p{Nd}+\)", 0)
+
+    base = F.when(first_number(plain) == "", plain).otherwise(
+        F.replace(plain, first_number(plain), F.lit(""))
+    )
+    wanted = (
+        media.select("path", "album", "name", names.stem(name).alias("stem"))
+        .withColumn("plain", F.regexp_extract(stem, ending, 1))
+        .withColumn("base", base)
+        .select(
+            "path",
+            "album",
+            "stem",
+            _text(first_number(stem)).alias("number"),
+            # No file name has a slash, so a name that is nothing but a mark finds no key.
+            _text(
+                F.when(F.col("base") == "", "/").otherwise(F.concat("base", names.lower_suffix(name)))
+            ).alias("key"),
         )
-        plain = cut if plain is None else F.coalesce(plain, cut)
-    number_in_plain = F.nullif(F.regexp_extract(F.col("plain"), r"\(\p{Nd}+\)", 0), F.lit(""))
-    base = F.when(number_in_plain.isNull(), F.col("plain")).otherwise(
-        F.replace(F.col("plain"), number_in_plain, F.lit(""))
     )
-    wanted = media.select(
-        "path", "album", stem.alias("stem"), low.alias("low"), first_number.alias("number"),
-        plain.alias("plain"),
-    ).withColumn("key", F.when(F.nullif(base, F.lit("")).isNotNull(), F.concat(base, F.col("low"))))
+    marked = F.regexp_like(stem, F.lit(ending))
 
     # The key of this matcher has no trailing dot when there is no extension.
     key = F.when(F.col("extension") == "", F.col("filename")).otherwise(
@@ -400,9 +406,9 @@ def match_alternative(
         names.suffix_in_name(F.col("stem"), F.col("any_number")), F.col("any_path")
     )
     several = F.when(F.col("n_bare") == 1, F.col("bare_path"))
-    # Rows without a key or a number take no part in the join on it: as NULLs they would
-    # all go to one task.
-    keyed = wanted.filter(F.col("key").isNotNull()).join(by_key, ["album", "key"], "left")
+    # Rows without a mark or a number take no part in the join on it: they would all go to
+    # one task.
+    keyed = wanted.filter(marked).join(by_key, ["album", "key"], "left")
     settled = keyed.filter(F.col("n").isNotNull()).select(
         "path", F.when(F.col("n") == 1, single).otherwise(several).alias("sidecar_path")
     )
@@ -410,8 +416,8 @@ def match_alternative(
     open_media = (
         keyed.filter(F.col("n").isNull())
         .select(*columns)
-        .unionByName(wanted.filter(F.col("key").isNull()).select(*columns))
-        .filter(F.col("number").isNotNull())
+        .unionByName(wanted.filter(~marked).select(*columns))
+        .filter(F.col("number") != "")
     )
     by_number = (
         sidecars.filter(~bare)

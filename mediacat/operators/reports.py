@@ -372,20 +372,20 @@ def log_event(line: Column) -> Column:
 def log_profile(lines: DataFrame) -> DataFrame:
     """(section, key, count): lines in total, per level and per key event."""
     line = F.col("value")
-    marks = F.array_compact(
-        F.array(
-            F.struct(F.lit("lines").alias("section"), F.lit("total").alias("key")),
-            F.when(
-                log_level(line).isNotNull(),
-                F.struct(F.lit("level").alias("section"), log_level(line).alias("key")),
-            ),
-            F.when(
-                log_event(line).isNotNull(),
-                F.struct(F.lit("event").alias("section"), log_event(line).alias("key")),
-            ),
-        )
+    marks = F.array(
+        *[
+            F.struct(F.lit(section).alias("section"), key.alias("key"))
+            for section, key in [
+                ("lines", F.lit("total")), ("level", log_level(line)), ("event", log_event(line)),
+            ]
+        ]
+    )
+    return (
+        lines.select(F.inline(marks))
+        .filter(F.col("key").isNotNull())
+        .groupBy("section", "key")
+        .agg(_count())
     )
-    return lines.select(F.inline(marks)).groupBy("section", "key").agg(_count())
 
 
 def log_match_statistics(lines: DataFrame) -> DataFrame:
