@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediacat.functions import content, exif, names, times
-from mediacat.operators import albums, errors as kinds, linking, media, people
+from mediacat.operators import albums, errors as kinds, media, people
 from mediacat.plans import adapters as a, oracle_tables as o
 from mediacat.plans.adapters import NEW_SEEN, OLD_SEEN, RUN_NEW
 from mediacat.plans.queries_linking import _links
