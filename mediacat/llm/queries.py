@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediacat.llm import packing
+from mediacat.llm import caption_links, packing
 from mediacat.llm.registry import captions, query, table
 
 
@@ -24,3 +24,44 @@ def op8_best_fit_packing(spark, sf_dir):
         F.col("length").cast("bigint").alias("length"),
         F.col("tokens_crc32").alias("ids_crc32"), "sequence_id", "offset",
     )
+
+
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, list_distinct(CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    END) AS s
+    FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+        AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM documents
+    UNION
+    SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT s.doc_id, len(s.s) AS n_shingles,
+    (SELECT count(*) FROM links WHERE links.x = s.doc_id) AS n_links,
+    (SELECT min(reach.y) FROM reach WHERE reach.x = s.doc_id) AS component_id
+FROM sets s
+"""
+
+
+@query("op7_ngram_jaccard_join", OP7_SQL)
+def op7_ngram_jaccard_join(spark, sf_dir):
+    linked = caption_links.caption_links(
+        captions(table(spark, sf_dir, "documents")), shingle_words=4, numerator=85, denominator=100
+    )
+    return linked.withColumnRenamed("media_item_id", "doc_id")
