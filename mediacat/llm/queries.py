@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediacat.llm import caption_links, packing
+from mediacat.llm import caption_links, license_notices, link_rules, packing
 from mediacat.llm.registry import captions, query, table
 
 
@@ -65,3 +65,87 @@ def op7_ngram_jaccard_join(spark, sf_dir):
         captions(table(spark, sf_dir, "documents")), shingle_words=4, numerator=85, denominator=100
     )
     return linked.withColumnRenamed("media_item_id", "doc_id")
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+OP1_SQL = (
+    r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), notices(label, base, t, f, k) AS (VALUES
+"""
+    + ",\n".join(
+        f"('{t['label']}', {t['base']}, {_list(t['words'])}, {t['key_from']}, "
+        f"{_list(t['words'][t['key_from'] : t['key_to'] + 1])})"
+        for t in license_notices.templates()
+    )
+    + r"""
+), spots AS (
+    SELECT doc_id, w, label, base, t, unnest(list_filter(range(0, len(w)),
+        lambda p: w[p + 1] = k[1] AND w[p + 1:p + len(k)] = k)) - f AS start
+    FROM words JOIN notices ON list_has_all(w, k)
+), places AS (
+    SELECT doc_id, label, base, start,
+        len(list_filter(range(0, len(t)), lambda i: start + i >= 0 AND w[start + i + 1] = t[i + 1]))::DOUBLE / len(t) AS share
+    FROM spots
+)
+SELECT words.doc_id, len(any_value(w)) AS n_words,
+    count(*) FILTER (base) AS n_base,
+    min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR share >= 0.6), '') AS labels,
+    coalesce(max(CASE WHEN base THEN 0.5::DOUBLE ELSE share END) FILTER (base OR share >= 0.6), 0::DOUBLE) AS score
+FROM words LEFT JOIN places ON words.doc_id = places.doc_id
+GROUP BY words.doc_id
+"""
+)
+
+
+@query("op1_license_scan", OP1_SQL)
+def op1_license_scan(spark, sf_dir):
+    found = license_notices.scan_notices(captions(table(spark, sf_dir, "documents")))
+    return found.drop("places").withColumnRenamed("media_item_id", "doc_id")
+
+
+#: The rules of the contract: (host, path, verdict).
+LINK_RULES = [
+    ("net", "/", "block"), ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
+]
+
+OP2_SQL = (
+    r"""
+WITH parts AS (
+    SELECT page_id,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+    FROM pages
+), rules(rule_host, rule_path, verdict) AS (VALUES
+"""
+    + ",\n".join(str(r) for r in LINK_RULES)
+    + r"""
+), judged AS (
+    SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
+        row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS place
+    FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host))
+        AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM judged WHERE place = 1
+"""
+)
+
+
+@query("op2_url_filters", OP2_SQL)
+def op2_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("media_item_id"), F.col("url").alias("media_google_url")
+    )
+    rules = spark.createDataFrame(LINK_RULES, "host string, path string, verdict string")
+    return link_rules.judge_links(pages, rules).withColumnRenamed("media_item_id", "page_id")
