@@ -12,6 +12,7 @@ The smaller ones then go, longest first, to the tightest gap that takes them.
 
 from __future__ import annotations
 
+import re
 from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from mediacat.session import checkpointed
 
+_ADJACENT = re.compile(r"\s\s")
 _TAIL = "%$#&*!,.|"
 _CACHE_ENTRIES = 500_000
 _MAX_BUCKETS = 4096
@@ -30,49 +32,66 @@ _MAX_BUCKETS = 4096
 _encoders: dict[str, "CaptionEncoder"] = {}
 
 
+def _visible_bytes() -> dict[int, str]:
+    """The printable character by which byte-level vocabularies write each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class _Parts(dict):
-    """Token bytes of text parts, worked out when first asked for."""
+    """Token bytes of text parts, worked out when first asked for.
 
-    def __init__(self, encode, lead: str, tails: "_Parts | None"):
-        self.encode, self.lead, self.tails = encode, lead, tails
+    ``lead`` stands before each part. ``bare`` is the same without lead.
+    """
+
+    def __init__(self, tokenizer, lead: str, bare: "_Parts | None" = None):
+        self.tokenizer, self.lead = tokenizer, lead
+        self.bare = self if bare is None else bare
+        self.visible = _visible_bytes()
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= _CACHE_ENTRIES:
             self.clear()
-        core = part.rstrip(_TAIL)
-        if core and core != part and core[-1].isalpha() and self.tails is not None:
-            found = self[core] + self.tails[part[len(core):]]
-        else:
-            found = array("I", self.encode(self.lead + part)).tobytes()
-        self[part] = found
+        self[part] = found = self._work_out(part)
         return found
 
+    def _work_out(self, part: str) -> bytes:
+        """The splitter cuts around runs of letters and around single line ends."""
+        if part.isalpha():
+            raw = (self.lead + part).encode().decode("latin-1").translate(self.visible)
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(raw)]).tobytes()
+        head, line_end, rest = part.partition("\n")
+        if head and rest:
+            return self[head] + self.bare[line_end] + self.bare[rest]
+        core = part.rstrip(_TAIL)
+        if core != part and core[-1:].isalpha():
+            return self[core] + self.bare[part[len(core):]]
+        ids = self.tokenizer.encode(self.lead + part, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
 
 class CaptionEncoder:
     """Token ids of a text as little-endian 32-bit numbers.
 
-    The vocabulary's splitter never joins the two sides of a space that stands between
-    two other characters, so a text without adjacent white space is looked up word by
-    word; all other texts are encoded as a whole. Both give the same ids.
+    The splitter of byte-level vocabularies never joins the two sides of a space that
+    stands between two other characters, so a text without adjacent white space is looked
+    up word by word; all other texts are encoded as a whole. Both give the same ids.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-
-        def encode(text: str) -> list[int]:
-            return tokenizer.encode(text, add_special_tokens=False).ids
-
-        self._encode = encode
-        tails = _Parts(encode, "", None)
-        self._first, self._rest = _Parts(encode, "", tails), _Parts(encode, " ", tails)
+        self._tokenizer = Tokenizer.from_file(vocabulary)
+        self._tokenizer.encode_special_tokens = True
+        self._first = _Parts(self._tokenizer, "")
+        self._rest = _Parts(self._tokenizer, " ", self._first)
 
     def __call__(self, text: str) -> bytes:
         parts = text.split(" ")
-        if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts if "\n" in p or not p.isprintable()):
-            return array("I", self._encode(text)).tobytes() if text else b""
+        if "" in parts or _ADJACENT.search(text):
+            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+            return array("I", ids).tobytes()
         return self._first[parts[0]] + b"".join(map(self._rest.__getitem__, parts[1:]))
 
 

@@ -92,3 +92,12 @@ def test_plan_places_all(seed):
             at += length
         assert at <= 100
     assert sequences >= -(-sum(k * n for k, n in counts.items()) // 100)
+
+
+def test_ids_of_whole_documents(spark):
+    tokenizer = Tokenizer.from_file(vocabulary_file())
+    tokenizer.encode_special_tokens = True
+    encode = packing.CaptionEncoder(vocabulary_file())
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        want = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(want)}I", encode(r.text or ""))) == want
