@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediacat.llm import caption_links, license_notices, link_rules, packing
-from mediacat.llm.registry import captions, query, table
+from mediacat.llm import caption_links, caption_toxicity, license_notices, link_rules, packing
+from mediacat.llm.registry import QUERIES, captions, query, table  # noqa: F401
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
@@ -149,3 +149,19 @@ def op2_url_filters(spark, sf_dir):
     )
     rules = spark.createDataFrame(LINK_RULES, "host string, path string, verdict string")
     return link_rules.judge_links(pages, rules).withColumnRenamed("media_item_id", "page_id")
+
+
+def fold(column, parts: int):
+    """crc32 of an id as text, modulo ``parts``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    flags = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
+    flags = flags.select(F.col("doc_id").alias("media_item_id"), "toxic")
+    scored = caption_toxicity.score_toxicity(captions(table(spark, sf_dir, "documents")), flags)
+    return scored.withColumnRenamed("media_item_id", "doc_id").select(
+        "doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
