@@ -6,8 +6,10 @@ reach the threshold must share one of the first few in it, so:
 1. shingles are counted over all captions in a table of fixed size, which orders them;
 2. every caption sends its first shingles, by hash, to the tasks of those hashes. Sets
    that meet there and are of similar size become candidates of one another;
-3. connected candidates form families. The full sets of a family, or of two of its blocks
-   where it is large, meet in one task, which joins them through a prefix tree.
+3. connected candidates form families. The heads of a family are compared first, which
+   breaks up families that only hang together by chance;
+4. the full sets of a family, or of two of its blocks where it is large, meet in one task,
+   which joins them through a prefix tree.
 
 Equal sets are joined as one from step 2 on. Only hashes, sizes and links are shuffled in
 the first two steps; the texts never are.
@@ -29,8 +31,8 @@ from mediacat.session import checkpointed
 _CELL_BITS = 20
 _CHUNK_CELLS = 1024
 _FILTER_BITS = 24
-_BLOCK_TOKENS = 1_000_000
-_HOT_BLOCKS = 16
+_BLOCK_TOKENS = 2_000_000
+_HOT_BLOCKS = 20
 _U = np.uint64
 
 
@@ -60,7 +62,7 @@ def caption_links(
         ids.filter("signature IS NOT NULL").groupBy("signature")
         .agg(F.min("media_item_id").alias("first_id"), F.count("*").alias("n"))
     )
-    links, weights = _join(captions, heads, classes, shared, shingle_words, numerator, denominator)
+    links, weights = _join(captions, heads, classes, shingle_words, numerator, denominator)
     rooted = components(links).select(F.col("node").alias("signature"), "component")
     known = (
         classes.join(rooted, "signature", "left").join(weights, "signature", "left")
@@ -120,8 +122,9 @@ def _counts(captions: DataFrame, size: int) -> np.ndarray:
     parts = captions.select("google_description").mapInArrow(count, schema)
     summed = parts.repartition("chunk").mapInArrow(add, schema)
     counts = np.zeros((cells // _CHUNK_CELLS, _CHUNK_CELLS), np.int64)
-    for row in summed.collect():  # one number per cell, however many captions
-        counts[row.chunk] = np.frombuffer(row.counts, np.int64)
+    found = summed.toArrow()  # one number per cell, however many captions
+    for chunk, own in zip(found.column("chunk").to_pylist(), found.column("counts")):
+        counts[chunk] = np.frombuffer(own.as_buffer(), np.int64)
     return counts.ravel()
 
 
@@ -131,6 +134,18 @@ def _ordered(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return np.sort((rank << _U(48)) | (shingles & _U((1 << 48) - 1)))
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    """The low 48 bits of each hash, ascending. Within a family that tells shingles apart."""
+    low = np.unique(shingles & _U((1 << 48) - 1))
+    return np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(_U).ravel()
+
+
 def _heads(captions: DataFrame, shared, size: int, numerator: int, denominator: int) -> DataFrame:
     """(media_item_id, n_shingles, signature, head) with the first shingles of each caption.
 
@@ -176,76 +191,121 @@ def _candidates(heads: DataFrame, numerator: int, denominator: int) -> DataFrame
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = size = lead = None
+        met = [np.zeros((0, 2), np.int64)]
         for batch in batches:
             if not batch.num_rows:
                 continue
             t, n, s = (batch.column(k).to_numpy() for k in range(3))
             new = np.r_[True, (t[1:] != t[:-1]) | (n[:-1] * denominator < numerator * n[1:])]
-            if token is not None and t[0] == token and size * denominator >= numerator * n[0]:
-                new[0] = False
-            at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-            a = np.where(at >= 0, s[at], lead if lead is not None else 0)
+            first = np.flatnonzero(new)
+            least = np.minimum.reduceat(s, first)
+            joins = token is not None and t[0] == token and size * denominator >= numerator * n[0]
+            if joins and lead != least[0]:
+                met.append(np.array([[lead, least[0]]], np.int64))
+            a = np.repeat(least, np.diff(np.r_[first, len(s)]))
             token, size, lead = t[-1], n[-1], a[-1]
             keep = a != s
-            pairs = np.unique(np.stack([a[keep], s[keep]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"]
-            )
+            met.append(np.unique(np.stack([a[keep], s[keep]], axis=1), axis=0))
+        yield _forest(np.concatenate(met))
 
     dealt = tokens.repartition("token").sortWithinPartitions("token", "n", "signature")
     return dealt.mapInArrow(meet, "a bigint, b bigint")
 
 
-def _join(captions, heads, classes, shared, size, numerator, denominator) -> tuple[DataFrame, DataFrame]:
+def _forest(pairs: np.ndarray) -> pa.RecordBatch:
+    """(a, b) with every number of ``pairs`` as b and the smallest it is linked to as a."""
+    names, at = np.unique(pairs, return_inverse=True)
+    root = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in at.reshape(-1, 2).tolist():
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    tops = np.array([top(x) for x in range(len(names))], np.int64)
+    hung = tops != np.arange(len(names))
+    return pa.RecordBatch.from_arrays([pa.array(names[tops[hung]]), pa.array(names[hung])], names=["a", "b"])
+
+
+def _join(captions, heads, classes, size, numerator, denominator) -> tuple[DataFrame, DataFrame]:
     """(a, b) that span the linked sets of each family, and (signature, weight) with the
     rows of other sets that each set links with."""
-    families = checkpointed(components(_candidates(heads, numerator, denominator)))
-    members = checkpointed(
-        families.withColumnRenamed("node", "signature")
-        .join(classes.select("signature", F.col("n").alias("copies")), "signature")
-        .join(heads.filter("head IS NOT NULL").select("signature", "n_shingles").distinct(), "signature")
-    )
+    copies = classes.select("signature", F.col("n").alias("copies"))
+    heads = heads.filter("head IS NOT NULL").select("signature", "n_shingles", "head")
+
+    def family(links: DataFrame) -> DataFrame:
+        members = components(links).withColumnRenamed("node", "signature").join(copies, "signature")
+        sizes = heads.select("signature", "n_shingles").distinct()
+        return checkpointed(members.join(sizes, "signature"))
+
+    def near(rows: dict, key: tuple) -> pa.RecordBatch:
+        return _near(rows, key, numerator, denominator)
+
+    def linked(rows: dict, key: tuple) -> pa.RecordBatch:
+        return _linked(rows, key, numerator, denominator)
+
+    wide = family(_candidates(heads, numerator, denominator))
+    closer = checkpointed(_by_family(wide, heads.select("signature", F.col("head").alias("tokens")), near))
+    members = family(closer.filter("a <> b").select("a", "b"))
+    met = checkpointed(_by_family(members, _sets(captions, members, size), linked))
+    weights = met.groupBy(F.col("b").alias("signature")).agg(F.sum("weight").alias("weight"))
+    return met.filter("a <> b").select("a", "b"), weights
+
+
+def _by_family(members: DataFrame, tokens: DataFrame, link) -> DataFrame:
+    """``link`` of the members of every family with their ``tokens`` (signature, tokens).
+
+    A large family is cut into blocks by hash, and every two of its blocks meet.
+    """
     found = members.count()
-    sizes = members.groupBy("component").agg(
-        F.count("*").alias("n"), F.sum("n_shingles").alias("tokens")
-    )
-    few = F.ceil(F.col("tokens") / _BLOCK_TOKENS)
-    hot = (F.col("n") >= 256) & (F.col("n") >= found / 64.0)
-    sizes = checkpointed(sizes.select("component", "n", F.when(hot, F.greatest(few, F.lit(_HOT_BLOCKS))).otherwise(few).cast("int").alias("blocks")))
+    # blocks by volume; and by share, so that no pair of blocks outweighs the other tasks
+    share = F.col("n") / F.lit(float(max(found, 1)))
+    hot = F.when((F.col("n") >= 256) & (share >= 1 / 64), F.ceil(_HOT_BLOCKS * F.sqrt(share)))
+    few = F.greatest(F.ceil(F.col("volume") / _BLOCK_TOKENS), hot)
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("volume"))
+    sizes = checkpointed(sizes.select("component", "n", few.cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("signature"), F.col("blocks")).cast("int")
+    kept = ["signature", "n_shingles", "component", "copies", "block"]
     routes = (
         lookup(members, sizes, "component", found)
         .withColumn("block", block)
-        .select("signature", "component", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("signature", "component", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .select(*kept, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(*kept, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    sets = _sets(captions, members, shared, size)
-    schema = "a bigint, b bigint, weight bigint"
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, {}
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(7)]
-            for component, i, j, own, mark, copies, tokens in zip(*columns):
+            payload = batch.column(7)
+            for at, (component, i, j, own, mark, count, n) in enumerate(zip(*columns)):
                 if key != (component, i, j):
-                    if rows:
-                        yield _linked(rows, key, numerator, denominator)
+                    if len(rows) > 1:
+                        yield link(dict(sorted(rows.items())), key)
                     key, rows = (component, i, j), {}
-                rows[mark] = (own, copies, tokens)
-        if rows:
-            yield _linked(rows, key, numerator, denominator)
+                rows[mark] = (own, n, count, _numbers(payload, at))
+        if len(rows) > 1:
+            yield link(dict(sorted(rows.items())), key)
 
     key = ["component", "i", "j"]
-    met = (
-        sets.join(routes, "signature").select(*key, "block", "signature", "copies", "tokens")
-        .repartition(*key).sortWithinPartitions(*key).mapInArrow(link, schema)
+    return (
+        tokens.join(routes, "signature").select(*key, "block", "signature", "copies", "n_shingles", "tokens")
+        .repartition(*key).sortWithinPartitions(*key)
+        .mapInArrow(meet, "a bigint, b bigint, weight bigint")
     )
-    met = checkpointed(met)
-    weights = met.groupBy(F.col("b").alias("signature")).agg(F.sum("weight").alias("weight"))
-    return met.filter("a <> b").select("a", "b"), weights
 
 
-def _sets(captions: DataFrame, members: DataFrame, shared, size: int) -> DataFrame:
+def _numbers(column: pa.Array, at: int) -> np.ndarray:
+    value = column[at]
+    return _unpacked(value.as_py()) if pa.types.is_binary(column.type) else value.values.to_numpy().view(_U)
+
+
+def _sets(captions: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """(signature, tokens) of the captions whose signature may be in ``members``."""
     spark = captions.sparkSession
     slot = F.col("signature").bitwiseAND((1 << _FILTER_BITS) - 1)
@@ -254,8 +314,8 @@ def _sets(captions: DataFrame, members: DataFrame, shared, size: int) -> DataFra
         .groupBy("word").agg(F.bit_or("bit").alias("bits"))
     )
     bits = np.zeros((1 << _FILTER_BITS) // 64, np.int64)
-    for row in words.collect():  # a bit field of fixed size; it only spares work
-        bits[row.word] = row.bits
+    found = words.toArrow()  # a bit field of fixed size; it only spares work
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     wanted = spark.sparkContext.broadcast(bits)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +332,7 @@ def _sets(captions: DataFrame, members: DataFrame, shared, size: int) -> DataFra
                     if (int(field[low >> 6]) >> (low & 63)) & 1 and mark not in seen:
                         seen.add(mark)
                         marks.append(mark)
-                        tokens.append(_ordered(own, shared.value).tobytes())
+                        tokens.append(_packed(own))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(marks, pa.int64()), pa.array(tokens, pa.binary())], names=["signature", "tokens"]
                 )
@@ -280,18 +340,49 @@ def _sets(captions: DataFrame, members: DataFrame, shared, size: int) -> DataFra
     return captions.select("google_description").mapInArrow(read, "signature bigint, tokens binary")
 
 
-def _linked(rows: dict, key: tuple, numerator: int, denominator: int) -> pa.RecordBatch:
-    """Links among the sets of one family, or between two of its blocks.
+def _near(rows: dict, key: tuple, numerator: int, denominator: int) -> pa.RecordBatch:
+    """Links among sets whose heads share enough for the whole sets to reach the threshold.
 
-    One row per set: b is the set, a the smallest it reaches here, weight the rows of the
-    other sets it links with.
+    A token that two sets share is in both heads or behind one of them, so what they share
+    is at most what the heads share and the rest of the longer remainder.
     """
+    heads = [row[3] for row in rows.values()]
+    names, ids = np.unique(np.concatenate(heads), return_inverse=True)
+    ends = np.cumsum([len(h) for h in heads])
+    owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+    order = np.argsort(ids, kind="stable")
+    holders = owner[order]
+    first = np.searchsorted(ids[order], np.arange(len(names) + 1))
+    sizes = np.array([row[1] for row in rows.values()])
+    rest = sizes - np.array([len(h) for h in heads])
+
+    def similar(x: int) -> np.ndarray:
+        own = ids[ends[x] - len(heads[x]) : ends[x]]
+        length = first[own + 1] - first[own]
+        begin = np.cumsum(length) - length
+        met = holders[np.repeat(first[own] - begin, length) + np.arange(length.sum())]
+        both = np.bincount(met, minlength=len(heads))
+        most = both + np.maximum(rest[x], rest)
+        enough = (both > 0) & (most * (numerator + denominator) >= numerator * (sizes[x] + sizes))
+        return np.flatnonzero(enough)
+
+    return _joined(rows, key, similar)
+
+
+def _linked(rows: dict, key: tuple, numerator: int, denominator: int) -> pa.RecordBatch:
+    """Links among the sets of one family, or between two of its blocks."""
+    tree = PrefixTree([row[3] for row in rows.values()], numerator, denominator)
+    return _joined(rows, key, lambda x: np.array(tree.similar(x)))
+
+
+def _joined(rows: dict, key: tuple, similar) -> pa.RecordBatch:
+    """One row per set: b is the set, a the smallest it reaches here, weight the rows of
+    the other sets it links with."""
     _, i, j = key
-    marks = list(rows)
-    sets = [np.frombuffer(rows[m][2], _U) for m in marks]
-    blocks = np.array([rows[m][0] for m in marks])
-    copies = np.array([rows[m][1] for m in marks], np.int64)
-    root = list(range(len(marks)))
+    names = np.array(list(rows), np.int64)
+    blocks = np.array([row[0] for row in rows.values()])
+    copies = np.array([row[2] for row in rows.values()], np.int64)
+    root = list(range(len(names)))
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -299,21 +390,18 @@ def _linked(rows: dict, key: tuple, numerator: int, denominator: int) -> pa.Reco
             x = root[x]
         return x
 
-    weight = np.zeros(len(marks), np.int64)
-    if len(marks) > 1:
-        tree = PrefixTree(sets, numerator, denominator)
-        for x in range(len(marks)):
-            others = np.array(tree.similar(x))
-            others = others[others != x]
-            if i != j:
-                others = others[blocks[others] != blocks[x]]
-            weight[x] = copies[others].sum()
-            for y in others:
-                a, b = top(x), top(int(y))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-    names = np.array(marks, np.int64)
+    weight = np.zeros(len(names), np.int64)
+    for x in range(len(names)):
+        others = similar(x)
+        others = others[others != x]
+        if i != j:
+            others = others[blocks[others] != blocks[x]]
+        weight[x] = copies[others].sum()
+        for y in others:
+            a, b = top(x), top(int(y))
+            if a != b:
+                root[max(a, b)] = min(a, b)
     return pa.RecordBatch.from_arrays(
-        [pa.array(names[[top(x) for x in range(len(marks))]]), pa.array(names), pa.array(weight)],
+        [pa.array(names[[top(x) for x in range(len(names))]]), pa.array(names), pa.array(weight)],
         names=["a", "b", "weight"],
     )

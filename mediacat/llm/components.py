@@ -19,6 +19,8 @@ def lookup(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame
     """
     least = max(200, total // HOT_KEYS)
     hot = right.filter(F.col("n") > least)
+    if hot.isEmpty():
+        return left.join(right, key).drop("n")
     cold = right.filter(F.col("n") <= least)
     even = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return left.join(F.broadcast(hot), key).unionByName(even).drop("n")
@@ -32,42 +34,38 @@ def components(edges: DataFrame) -> DataFrame:
     round is written to the shared folder. Self-links and repeated links do no harm; no
     links, no rows. Nodes must not be NULL.
     """
-    spark = edges.sparkSession
     low, high = F.least("a", "b"), F.greatest("a", "b")
     current = checkpointed(edges.select(low.alias("a"), high.alias("b")).distinct())
     loops = current.filter("a = b").select(F.col("a").alias("node"))
     stars = current.filter("a <> b")
-    mark = _mark(stars)
-    while mark[0]:
+    while (links := _unfinished(stars)):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         nearest = checkpointed(
             both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
             .select("a", F.least("a", "m").alias("m"), "n")
         )
-        large = lookup(stars, nearest, "a", 2 * mark[0]).filter("b <> m").select("m", "b")
-        large = checkpointed(large.distinct())
-        count = large.count()
+        large = checkpointed(lookup(stars, nearest, "a", 2 * links).filter("b <> m").select("m", "b"))
         nearest = checkpointed(
             large.groupBy("b").agg(F.min("m").alias("least"), F.count("*").alias("n"))
         )
-        small = lookup(large, nearest, "b", count)
+        small = lookup(large, nearest, "b", links)
         again = small.filter("m <> least").select(F.col("least").alias("a"), F.col("m").alias("b"))
         hung = small.select(F.col("least").alias("a"), "b")
         stars = checkpointed(again.unionByName(hung).distinct())
-        before, mark = mark, _mark(stars)
-        if before == mark:
-            break
     roots = stars.select(F.col("b").alias("node"), F.col("a").alias("component"))
     own = stars.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("component"))
     found = roots.unionByName(own)
+    if loops.isEmpty():
+        return found
     alone = loops.distinct().join(found.select("node"), "node", "left_anti")
     return found.unionByName(alone.select("node", F.col("node").alias("component")))
 
 
-def _mark(stars: DataFrame) -> tuple:
-    """Count and digest of a set of links; equal for equal sets."""
-    row = stars.agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"),
-        F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30))).alias("s"),
-    ).first()
-    return tuple(row)
+def _unfinished(stars: DataFrame) -> int:
+    """Number of links, or 0 once every node hangs on one other that hangs on none."""
+    ends = stars.select(F.col("a").alias("node"), F.lit(0).alias("hangs")).unionByName(
+        stars.select(F.col("b").alias("node"), F.lit(1).alias("hangs"))
+    )
+    nodes = ends.groupBy("node").agg(F.min("hangs").alias("least"), F.sum("hangs").alias("n"))
+    row = nodes.agg(F.sum("n").alias("links"), F.max(F.expr("n > 1 OR n > least")).alias("open")).first()
+    return row.links if row.open else 0
