@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediacat.llm import caption_links, caption_toxicity, license_notices, link_rules, packing
+from mediacat.llm import (
+    caption_links, caption_toxicity, heldout_leaks, license_notices, link_rules, packing, surrogates,
+)
 from mediacat.llm.registry import QUERIES, captions, query, table  # noqa: F401
 
 
@@ -165,3 +167,23 @@ def op5_toxicity(spark, sf_dir):
         "doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+#: Key of the surrogates in the registered query; a user passes a secret one.
+SURROGATE_KEY = "catalog"
+
+
+@query("op9_pii")
+def op9_pii(spark, sf_dir):
+    replaced = surrogates.replace_entities(captions(table(spark, sf_dir, "documents")), SURROGATE_KEY)
+    return replaced.select(
+        F.col("media_item_id").alias("doc_id"), F.col("google_description").alias("text"), "n_entities"
+    )
+
+
+@query("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark, sf_dir):
+    leaks = heldout_leaks.find_leaks(
+        captions(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    )
+    return leaks.withColumnRenamed("media_item_id", "doc_id")
