@@ -13,9 +13,9 @@ once.
 
 from __future__ import annotations
 
-import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediacat.llm.components import lookup
@@ -52,21 +52,30 @@ def held_out_shingles(held_out: DataFrame) -> DataFrame:
     return items.select("item", "item_id", "w", F.least(F.size("w"), F.lit(SHINGLE_WORDS)).alias("size"), hashes.alias("hashes"))
 
 
-def _bit_field(seeds: DataFrame) -> Column:
-    """A literal array of longs with a bit set for each hash; its size is fixed."""
-    slot = F.col("hash").bitwiseAND((1 << _FIELD_BITS) - 1)
-    words = seeds.select(
-        F.shiftright(slot, 6).cast("int").alias("word"), F.expr("shiftleft(1L, int(hash & 63))").alias("bit")
+def _bit_field(seeds: DataFrame, count: int) -> tuple[Column, int]:
+    """A literal array of longs with two bits set for each hash, and the number of its bits.
+
+    It has 64 bits for each of ``count`` hashes, up to a fixed number; it only spares work.
+    """
+    bits = 1 << min(_FIELD_BITS, max(16, (64 * count).bit_length()))
+    slots = F.array(*[_slot(F.col("hash"), probe, bits) for probe in (0, 1)])
+    words = seeds.select(F.explode(slots).alias("slot")).select(
+        F.shiftright("slot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, int(slot & 63))").alias("bit")
     ).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    field = [0] * (1 << (_FIELD_BITS - 6))
+    field = np.zeros(bits // 64, np.int64)
     for row in words.collect():  # at most the fixed number of words
         field[row.word] = row.bits
-    return F.from_json(F.lit(json.dumps(field, separators=(",", ":"))), "array<bigint>")
+    return F.lit(field), bits
+
+
+def _slot(h: Column, probe: int, bits: int) -> Column:
+    return F.shiftright(h, 32 * probe).bitwiseAND(bits - 1)
 
 
-def _in_field(field: Column, h: Column) -> Column:
-    word = F.get(field, F.shiftright(h.bitwiseAND((1 << _FIELD_BITS) - 1), 6).cast("int"))
-    return F.getbit(word, h.bitwiseAND(63).cast("int")) == 1
+def _in_field(field: Column, bits: int, h: Column) -> Column:
+    def is_set(slot: Column) -> Column:
+        return F.getbit(F.get(field, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
+    return is_set(_slot(h, 0, bits)) & is_set(_slot(h, 1, bits))
 
 
 def caption_windows(media_items: DataFrame, items: DataFrame) -> DataFrame:
@@ -79,7 +88,7 @@ def caption_windows(media_items: DataFrame, items: DataFrame) -> DataFrame:
     count = seeds.count()
     bounds = seeds.agg(F.max("width").alias("w"), F.collect_set("size").alias("sizes")).first()
     widest, sizes = bounds.w or 0, sorted(bounds.sizes)
-    field = _bit_field(seeds)
+    field, bits = _bit_field(seeds, count)
     row = F.xxhash64("media_item_id", "google_description")
     split = media_items.select(
         "media_item_id", row.alias("row"), notice_words(F.col("google_description")).alias("w")
@@ -87,14 +96,15 @@ def caption_windows(media_items: DataFrame, items: DataFrame) -> DataFrame:
     hashed = split.select("media_item_id", "row", "w", *[_shingles(k).alias(f"h{k}") for k in sizes])
 
     def marked(k: int) -> Column:
-        spot = lambda h, i: F.when(_in_field(field, h), F.struct(i.alias("at"), h.alias("hash"), F.lit(k).alias("size")))
+        spot = lambda h, i: F.when(_in_field(field, bits, h), F.struct(i.alias("at"), h.alias("hash"), F.lit(k).alias("size")))
         return F.array_compact(F.transform(f"h{k}", spot))
 
     places = F.concat(*map(marked, sizes)) if sizes else F.array().cast("array<struct<at:int,hash:bigint,size:int>>")
-    found = hashed.select("media_item_id", "row", "w", places.alias("places")).filter("size(places) > 0")
-    # words around the place, so that every window over it can be cut from them
+    found = hashed.select("media_item_id", "row", "w", places.alias("places"))
+    # words around the place, so that every window over it can be cut from them; explode
+    # would have Spark work out the places once more in a filter, explode_outer has not
     begin = F.greatest(F.col("p.at") - widest, F.lit(0))
-    around = found.select("media_item_id", "row", "w", F.explode("places").alias("p")).select(
+    around = found.select("media_item_id", "row", "w", F.explode_outer("places").alias("p")).filter("p IS NOT NULL").select(
         "media_item_id", "row", F.col("p.at").alias("at"), F.col("p.hash").alias("hash"), F.col("p.size").alias("size"),
         begin.alias("begin"), F.slice("w", begin + 1, F.lit(2 * widest + SHINGLE_WORDS)).alias("words"),
     )
@@ -180,9 +190,9 @@ def find_leaks(
     for size in range(1, SHINGLE_WORDS + 1):
         hashes = F.when(few == size, _shingles(size)).otherwise(hashes)
     texts = checkpointed(counts.select("key", hashes.alias("hashes")))
-    prints = fingerprints(texts, weights, unseen)
+    prints = checkpointed(fingerprints(texts, weights, unseen))
     own = items.select(F.col("item").alias("key"), "hashes")
-    item_prints = fingerprints(own, weights, unseen).withColumnRenamed("key", "item")
+    item_prints = checkpointed(fingerprints(own, weights, unseen).withColumnRenamed("key", "item"))
     pairs = checkpointed(within_radius(prints, item_prints, radius))
     sides = pairs.join(texts, "key").join(items.select("item", F.col("hashes").alias("others")), "item")
     every = sides.select(
