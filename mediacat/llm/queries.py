@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediacat.llm import (
-    caption_links, caption_toxicity, heldout_leaks, license_notices, link_rules, packing, surrogates,
+    caption_links, caption_toxicity, heldout_leaks, license_notices, link_rules, near_vectors,
+    packing, surrogates,
 )
 from mediacat.llm.registry import QUERIES, captions, query, table  # noqa: F401
 
@@ -187,3 +188,11 @@ def op10_benchmark_decontamination(spark, sf_dir):
         captions(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark").select("item_id", "text")
     )
     return leaks.withColumnRenamed("media_item_id", "doc_id")
+
+
+@query("op6_embedding_near_dedup")
+def op6_embedding_near_dedup(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("media_item_id"), F.col("label").alias("album_id"), "embedding"
+    )
+    return near_vectors.near_vectors(vectors, 0.93).withColumnRenamed("media_item_id", "vec_id")
