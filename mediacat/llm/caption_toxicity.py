@@ -204,14 +204,25 @@ def labelled_sample(media_items: DataFrame, flags: DataFrame, label: str, most:
 
 
 def score_toxicity(media_items: DataFrame, flags: DataFrame, most_labelled: int = 12_000) -> DataFrame:
-    """(media_item_id, score): how probable it is that each caption is marked toxic.
+    """(media_item_id, score) of all rows of ``media_items``; see ``add_toxicity``."""
+    return _scored(media_items, flags, most_labelled, ["media_item_id"], "score")
+
+
+def add_toxicity(media_items: DataFrame, flags: DataFrame, most_labelled: int = 12_000) -> DataFrame:
+    """``media_items`` with toxicity: how probable it is that each caption is marked toxic.
 
     ``flags`` (media_item_id, toxic 0 or 1) are the labels to learn from; the model is
     fitted on at most ``most_labelled`` of them, its letter model on all captions
     (google_description). The score depends on the caption alone. NULL and empty captions
     are scored like any caption without marks. Without labels of both kinds every score is
     the smoothed share of toxic labels. Repeated rows and NULL ids are kept. No rows, no rows.
+    A column toxicity of the input is replaced.
     """
+    kept = [c for c in media_items.columns if c != "toxicity"]
+    return _scored(media_items, flags, most_labelled, kept, "toxicity")
+
+
+def _scored(media_items: DataFrame, flags: DataFrame, most_labelled: int, kept: list[str], name: str) -> DataFrame:
     context = media_items.sparkSession.sparkContext
     captions = media_items.select("google_description")
     model = context.broadcast(trigram_model(trigram_counts(captions)))
@@ -234,17 +245,17 @@ def score_toxicity(media_items: DataFrame, flags: DataFrame, most_labelled: int
     else:
         share = (y.sum() + 0.5) / (len(y) + 1)
         weights = np.array([0, 0, 0, math.log(share / (1 - share))])
-    schema = T.StructType(
-        [T.StructField("media_item_id", media_items.schema["media_item_id"].dataType), T.StructField("score", T.DoubleType())]
-    )
+    schema = T.StructType([*(media_items.schema[c] for c in kept), T.StructField(name, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = _Marks(model.value, shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = np.array([_summary(marks.of(t)) for t in part.column(1).to_pylist()]).reshape(-1, 3)
+                texts = part.column("google_description").to_pylist()
+                x = np.array([_summary(marks.of(t)) for t in texts]).reshape(-1, 3)
                 p = 1 / (1 + np.exp(-np.clip(x @ weights[:3] + weights[3], -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], names=["media_item_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(p)], names=[*kept, name])
 
-    return media_items.select("media_item_id", "google_description").mapInArrow(score, schema)
+    read = kept if "google_description" in kept else [*kept, "google_description"]
+    return media_items.select(*read).mapInArrow(score, schema)

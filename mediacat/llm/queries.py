@@ -17,18 +17,20 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@query("op8_best_fit_packing")
-def op8_best_fit_packing(spark, sf_dir):
-    packed = packing.pack_captions(
-        captions(table(spark, sf_dir, "documents")), vocabulary_file(), end_id=2, capacity=1024
-    )
-    return packed.select(
+def packed(documents):
+    result = packing.pack_captions(captions(documents), vocabulary_file(), end_id=2, capacity=1024)
+    return result.select(
         F.col("media_item_id").alias("doc_id"), "piece", "start",
         F.col("length").cast("bigint").alias("length"),
         F.col("tokens_crc32").alias("ids_crc32"), "sequence_id", "offset",
     )
 
 
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mediacat.session import shared_folder
+
 Build = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Build] = {}
@@ -33,3 +36,11 @@ def captions(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").alias("media_item_id"), F.col("text").alias("google_description")
     )
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in a new folder below the shared one."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
