@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediacat.llm import (
-    caption_links, caption_toxicity, heldout_leaks, license_notices, link_rules, near_vectors,
+    caption_language, caption_links, caption_quality, caption_toxicity, heldout_leaks,
+    license_notices, link_rules, near_vectors,
     packing, surrogates,
 )
 from mediacat.llm.registry import QUERIES, captions, query, table  # noqa: F401
@@ -198,3 +199,29 @@ def op6_embedding_near_dedup(spark, sf_dir):
         F.col("vec_id").alias("media_item_id"), F.col("label").alias("album_id"), "embedding"
     )
     return near_vectors.near_vectors(vectors, 0.93).withColumnRenamed("media_item_id", "vec_id")
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    items = captions(documents)
+    labelled = documents.filter(fold("doc_id", 5) != 0).select(
+        F.col("doc_id").alias("media_item_id"), F.col("text").alias("google_description"), F.col("lang").alias("language")
+    )
+    found = caption_language.predict_languages(items, caption_language.learn_languages(labelled))
+    return found.select(
+        F.col("media_item_id").alias("doc_id"),
+        F.coalesce(fold("media_item_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("language").alias("lang_pred"), "score",
+    )
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark, sf_dir):
+    items = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("media_item_id"), F.col("text").alias("google_description"),
+        F.col("source").alias("album_id"), F.col("lang").alias("language"), F.col("n_chars").alias("size"),
+    )
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("media_item_id"), "quality")
+    scored = caption_quality.score_quality(items, marks, ["album_id", "language", "size"])
+    return scored.withColumnRenamed("media_item_id", "doc_id")
