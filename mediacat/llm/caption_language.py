@@ -56,15 +56,49 @@ class ByteNetwork:
             out[t] = state
         return out
 
-    def probabilities(self, states: np.ndarray, back: np.ndarray) -> np.ndarray:
+    def read(self, codes: np.ndarray) -> np.ndarray:
+        """The same as ``states``, in single precision and with reused memory."""
+        h, w = _HIDDEN, self.w
+        scale = np.r_[np.full(2 * h, 0.2, _F), np.ones(h, _F)]
+        lines = w["bytes"] * scale + np.r_[np.full(2 * h, 0.5, _F), np.zeros(h, _F)]
+        gate_lines, new_lines = lines[..., : 2 * h].copy(), lines[..., 2 * h :].copy()
+        gate_state, new_state = w["state"][..., : 2 * h] * _F(0.2), w["state"][..., 2 * h :].copy()
+        chunks = codes.shape[2]
+        out = np.empty((len(codes), 2, chunks, h), _F)
+        gates, line = np.empty((2, 2, chunks, 2 * h), _F)
+        new, more = np.empty((2, 2, chunks, h), _F)
+        state = np.zeros((2, chunks, h), _F)
+        for code, ahead in zip(codes.astype(np.intp), out):
+            np.matmul(state, gate_state, out=gates)
+            for d in (0, 1):
+                np.take(gate_lines[d], code[d], axis=0, out=line[d], mode="clip")
+                np.take(new_lines[d], code[d], axis=0, out=more[d], mode="clip")
+            gates += line
+            np.maximum(gates, 0, out=gates)
+            np.minimum(gates, 1, out=gates)
+            np.matmul(state, new_state, out=new)
+            new += w["bias"]
+            new *= gates[..., :h]
+            new += more
+            np.tanh(new, out=new)
+            np.subtract(state, new, out=ahead)
+            ahead *= gates[..., h:]
+            ahead += new
+            state = ahead
+        return out
+
+    def probabilities(self, states: np.ndarray, back: np.ndarray | None) -> np.ndarray:
         """Languages at every byte, (step, chunk, language); ``back`` is the place of a byte
-        counted from the end of its chunk."""
+        counted from the end of its chunk, None where all chunks are full."""
         logits = states[:, 0] @ self.w["out"][0] + self.w["shift"]
         behind = states[:, 1] @ self.w["out"][1]
-        logits += behind[back, np.arange(back.shape[1])[None, :]]
-        logits -= logits.max(axis=2, keepdims=True)
+        logits += behind[::-1] if back is None else behind[back, np.arange(back.shape[1])[None, :]]
+        np.clip(logits, -40, 40, out=logits)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
+        total = logits[..., 0].copy()
+        for k in range(1, logits.shape[2]):  # much faster than a sum over so short an axis
+            total += logits[..., k]
+        logits /= total[..., None]
         return logits
 
     def gradients(self, codes: np.ndarray, labels: np.ndarray) -> tuple[float, dict]:
@@ -72,8 +106,7 @@ class ByteNetwork:
         h, w, steps, chunks = _HIDDEN, self.w, len(codes), codes.shape[2]
         keep: list = []
         states = self.states(codes, keep)
-        back = np.repeat(np.arange(steps)[::-1, None], chunks, axis=1)
-        p = self.probabilities(states, back)
+        p = self.probabilities(states, None)
         loss = -np.log(p[:, np.arange(chunks), labels] + 1e-9).mean()
         error = p
         error[:, np.arange(chunks), labels] -= 1
@@ -134,15 +167,19 @@ class ByteNetwork:
         length = np.minimum(_CHUNK, sizes[owner] - within * _CHUNK)
         sums = np.zeros((len(texts), len(self.languages)))
         steps = np.arange(_CHUNK)[:, None]
-        for at in range(0, len(owner), _ROWS):
-            s, n = start[at : at + _ROWS], length[at : at + _ROWS]
-            inside = steps < n
-            back = np.maximum(n - 1 - steps, 0)
-            ahead = np.minimum(s + steps, len(data) - 1)
-            codes = np.stack([data[ahead], data[s + back]], axis=1)
-            p = self.probabilities(self.states(codes), back)
-            p *= inside[:, :, None]
-            np.add.at(sums, owner[at : at + _ROWS], p.sum(axis=0))
+        whole = length == _CHUNK
+        for some in (np.flatnonzero(whole), np.flatnonzero(~whole)):
+            for at in range(0, len(some), _ROWS):
+                own = some[at : at + _ROWS]
+                s, n = start[own], length[own]
+                back = np.maximum(n - 1 - steps, 0)
+                ahead = np.minimum(s + steps, len(data) - 1)
+                states = self.read(np.stack([data[ahead], data[s + back]], axis=1))
+                if whole[own[0]]:
+                    p = self.probabilities(states, None)
+                else:
+                    p = self.probabilities(states, back) * (steps < n)[:, :, None]
+                np.add.at(sums, owner[own], p.sum(axis=0))
         return sums / np.maximum(sizes, 1)[:, None]
 
 

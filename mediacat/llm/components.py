@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mediacat.session import checkpointed
 
@@ -26,6 +29,22 @@ def lookup(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame
     return left.join(F.broadcast(hot), key).unionByName(even).drop("n")
 
 
+@contextmanager
+def one_plan(spark: SparkSession) -> Iterator[None]:
+    """Runs what is inside without adaptive re-planning.
+
+    The rounds below are many small plans. Re-planned after each exchange, they fill the
+    driver with threads and plans; their hot keys are seen to by ``lookup``.
+    """
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); component is the smallest node.
 
@@ -36,6 +55,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     current = checkpointed(edges.select(low.alias("a"), high.alias("b")).distinct())
+    with one_plan(edges.sparkSession):
+        return _hang(current)
+
+
+def _hang(current: DataFrame) -> DataFrame:
+    """The components of links with a <= b, none of them twice."""
     loops = current.filter("a = b").select(F.col("a").alias("node"))
     stars = current.filter("a <> b")
     while (links := _unfinished(stars)):

@@ -49,3 +49,10 @@ def test_odd_rows(spark):
     assert {r.language for r in language.predict_languages(frame, None).collect()} == {"und"}
     assert language.learn_languages(frame.limit(0)) is None
     assert language.predict_languages(frame.limit(0), net).collect() == []
+
+
+def test_fast_reading_is_the_same():
+    rng = np.random.default_rng(2)
+    net = language.ByteNetwork(["a", "b"])
+    codes = rng.integers(0, 256, (64, 2, 7))
+    assert np.allclose(net.states(codes), net.read(codes), atol=1e-5)
