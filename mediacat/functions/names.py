@@ -90,15 +90,12 @@ def _nfc(path: Column) -> Column:
     return F.pandas_udf(compose, StringType())(path)
 
 
-def normalize_path(path: Column, ascii_only: bool = False) -> Column:
+def normalize_path(path: Column) -> Column:
     """Composed Unicode with forward slashes.
 
     Spark has no function for composition, so a vectorised helper does it; only names
-    outside ASCII are sent to it. ``ascii_only`` leaves the helper out of the plan for
-    data known to be ASCII.
+    outside ASCII are sent to it.
     """
-    if ascii_only:
-        return F.translate(path, "\\", "/")
     other = F.when(F.regexp_like(path, F.lit(r"[^\x00-\x7F]")), path)
     return F.translate(F.coalesce(_nfc(other), path), "\\", "/")
 

@@ -27,7 +27,7 @@ def parse_album_json(raw: DataFrame) -> DataFrame:
 
 
 def discover_albums(
-    files: DataFrame, album_json: DataFrame, scan_run_id: str, ascii_only: bool = False
+    files: DataFrame, album_json: DataFrame, scan_run_id: str
 ) -> DataFrame:
     """Albums of one scan, before they meet the stored ones.
 
@@ -48,7 +48,7 @@ def discover_albums(
     )
     return folders.join(described, "folder", "left").select(
         ids.album_id(F.col("folder")).alias("album_id"),
-        names.normalize_path(F.col("folder"), ascii_only).alias("album_folder_path"),
+        names.normalize_path(F.col("folder")).alias("album_folder_path"),
         title.alias("title"),
         "description",
         "creation_timestamp",

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from mediacat.functions import names
 
 MISSING, WRONG_SIZE, WRONG_CRC, OK = "missing", "size_mismatch", "crc_mismatch", "ok"
-NOT_CHECKED, UNVERIFIABLE = "not_checked", "unverifiable"
+NOT_CHECKED, UNVERIFIABLE, UNREADABLE = "not_checked", "unverifiable", "unreadable"
 
 
 def archive_inventory(files: DataFrame) -> DataFrame:
@@ -19,43 +20,52 @@ def archive_inventory(files: DataFrame) -> DataFrame:
     )
 
 
-def member_targets(manifest: DataFrame, ascii_only: bool = False) -> DataFrame:
+def member_targets(manifest: DataFrame) -> DataFrame:
     """Manifest with target (name after extraction), changed and safe."""
     clean = names.sanitize_member(F.col("member"))
     return manifest.select(
         "*",
-        names.normalize_path(clean, ascii_only).alias("target"),
+        names.normalize_path(clean).alias("target"),
         (clean != F.col("member")).alias("changed"),
         names.is_safe_member(F.col("member")).alias("safe"),
     )
 
 
-def verify_archives(
-    manifest: DataFrame, extracted: DataFrame, ascii_only: bool = False
-) -> DataFrame:
+def verify_archives(manifest: DataFrame, extracted: DataFrame) -> DataFrame:
     """(archive, member, status) of every member.
 
     When an archive has missing members only those are reported and its other members
     are not checked; otherwise size is compared, then the checksum of files whose size
-    agrees. Archives other than zip carry no checksum and cannot be verified.
+    agrees. Archives other than zip carry no checksum and cannot be verified. A manifest
+    row without member stands for an archive that could not be read to its end.
+
+    ``extracted`` has crc32 as a number or as the hexadecimal text of ``file_digests``. Of
+    files whose names have one normal form the first by path counts.
     """
-    wanted = member_targets(manifest, ascii_only)
-    there = extracted.select(
-        "archive",
-        names.normalize_path(F.col("path"), ascii_only).alias("target"),
-        F.col("size").alias("found_size"),
-        F.col("crc32").alias("found_crc32"),
-        F.lit(True).alias("exists"),
+    wanted = member_targets(manifest)
+    crc = F.col("crc32")
+    if extracted.schema["crc32"].dataType == StringType():
+        crc = F.conv(crc, 16, 10).cast("bigint")
+    there = (
+        extracted.select(
+            "archive",
+            names.normalize_path(F.col("path")).alias("target"),
+            F.struct("path", F.col("size").alias("found_size"), crc.alias("found_crc32")).alias("file"),
+        )
+        .groupBy("archive", "target")
+        .agg(F.min("file").alias("file"))
+        .select("archive", "target", "file.found_size", "file.found_crc32", F.lit(True).alias("exists"))
     )
     joined = wanted.join(there, ["archive", "target"], "left").withColumn(
-        "missing", F.col("exists").isNull() & (F.col("format") == "zip")
+        "missing", F.col("exists").isNull() & (F.col("format") == "zip") & F.col("member").isNotNull()
     )
     # One small row per archive instead of a window, which would gather a large archive.
     incomplete = (
         joined.filter("missing").select("archive").distinct().withColumn("incomplete", F.lit(True))
     )
     status = (
-        F.when(F.col("format") != "zip", UNVERIFIABLE)
+        F.when(F.col("member").isNull(), UNREADABLE)
+        .when(F.col("format") != "zip", UNVERIFIABLE)
         .when(F.col("missing"), MISSING)
         .when(F.col("incomplete"), NOT_CHECKED)
         .when(F.col("found_size") != F.col("size"), WRONG_SIZE)
@@ -68,8 +78,11 @@ def verify_archives(
 
 
 def archive_verdicts(verified: DataFrame) -> DataFrame:
-    """Per archive: valid, number of bad members, whether to extract it again in full."""
-    bad = F.col("status").isin(MISSING, WRONG_SIZE, WRONG_CRC)
+    """Per archive: valid, number of bad members, whether to extract it again in full.
+
+    An archive that could not be read is not valid and counts as one bad member.
+    """
+    bad = F.col("status").isin(MISSING, WRONG_SIZE, WRONG_CRC, UNREADABLE)
     return (
         verified.groupBy("archive")
         .agg(
@@ -86,8 +99,10 @@ def resume_plan(manifest: DataFrame, done: DataFrame, extracted: DataFrame) -> D
 
     A member is skipped when it is recorded as done and the extracted file still agrees:
     size from the manifest and, for zip, the recorded checksum. Members of other archives
-    that would leave the target folder are never extracted.
+    that would leave the target folder are never extracted. Manifest rows without member,
+    of archives that could not be read, give no action.
     """
+    manifest = manifest.filter(F.col("member").isNotNull())
     is_zip = F.col("format") == "zip"
     target = F.when(is_zip, names.sanitize_member(F.col("member"))).otherwise(F.col("member"))
     recorded = done.select(

@@ -86,7 +86,6 @@ def media_record(
     scan_run_id: str,
     now: Column,
     seen_at: Column | None = None,
-    ascii_only: bool = False,
 ) -> DataFrame:
     """The stored row of every media file.
 
@@ -94,7 +93,7 @@ def media_record(
     output of ``hash_content``. ``now`` judges future EXIF dates, ``seen_at`` stamps rows.
     """
     seen_at = now if seen_at is None else seen_at
-    path = names.normalize_path(F.col("path"), ascii_only)
+    path = names.normalize_path(F.col("path"))
     has_taken = F.coalesce("has_taken", F.lit(False))
     has_creation = F.coalesce("has_creation", F.lit(False))
     name = names.base_name(F.col("path"))

@@ -102,7 +102,7 @@ def _original_path(path: Column) -> Column:
     )
 
 
-def edited_variants(items: DataFrame, ascii_only: bool = False) -> DataFrame:
+def edited_variants(items: DataFrame) -> DataFrame:
     """(edited_path, original_path) where the unedited name exists in the same folder.
 
     Paths are compared in composed Unicode form; the mark is matched in exact case.
@@ -110,9 +110,9 @@ def edited_variants(items: DataFrame, ascii_only: bool = False) -> DataFrame:
     path = F.col("relative_path")
     wanted = items.select(
         path.alias("edited_path"),
-        names.normalize_path(_original_path(path), ascii_only).alias("normal_path"),
+        names.normalize_path(_original_path(path)).alias("normal_path"),
     ).filter(F.col("normal_path").isNotNull())
-    existing = items.groupBy(names.normalize_path(path, ascii_only).alias("normal_path")).agg(
+    existing = items.groupBy(names.normalize_path(path).alias("normal_path")).agg(
         F.max("relative_path").alias("original_path")
     )
     return wanted.join(existing, "normal_path").select("edited_path", "original_path")

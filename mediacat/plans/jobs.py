@@ -111,10 +111,20 @@ def relate_media(items: DataFrame, scan_run_id: str) -> DataFrame:
     return relations.set_original_id(paired, relations.edited_variants(present))
 
 
+def extracted_files(spark: SparkSession, folder: str, archive: str) -> DataFrame:
+    """The files below a folder into which one archive was extracted, with checksums."""
+    listed = inventory.listed_files(spark, folder)
+    digests = content.file_digests(listed, folder)
+    return digests.select(F.lit(archive).alias("archive"), "path", "size", "crc32")
+
+
 def verify_export_archives(
     spark: SparkSession, archive_root: str, extracted: DataFrame
 ) -> DataFrame:
-    """Status of every member of the archives below a folder."""
+    """Status of every member of the archives below a folder.
+
+    ``extracted`` is the union of ``extracted_files`` of the archives.
+    """
     found = inventory.archive_inventory(spark, archive_root)
     return archives.verify_archives(archive_source.archive_manifest(found, archive_root), extracted)
 
@@ -191,9 +201,10 @@ def scan_export(
     files = checkpointed(inventory.file_inventory(spark, root))
     found = link_sidecars(files)
     links = checkpointed(found.links)
-    raw = content.sidecar_json(spark, base)
+    # Read once, whole; fingerprints, records and errors all come from this.
+    raw = checkpointed(content.sidecar_json(files, base))
     album_table = checkpointed(
-        build_albums(files, content.album_json(spark, base), stored_albums, scan_run_id, now)
+        build_albums(files, content.album_json(files, base), stored_albums, scan_run_id, now)
     )
     todo = links
     if stored_items is not None:
@@ -214,7 +225,7 @@ def scan_export(
             rescan_catalog(scan, stored_items, scan_run_id, started, now).drop("change_type")
         )
     parsed = media.parse_sidecars(raw)
-    linked = links.select(F.col("sidecar_path").alias("path"))
+    linked = todo.select(F.col("sidecar_path").alias("path"))
     errors = media.sidecar_errors(parsed.join(linked, "path", "left_semi"), scan_run_id, now)
     counters = reports.discovery_counters(files, links)
     run = runs.complete_run(

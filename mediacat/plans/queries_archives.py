@@ -38,9 +38,7 @@ _STATUS = """statuses AS (
 
 
 def _verified(spark, sf_dir):
-    return archives.verify_archives(
-        a.manifest(spark, sf_dir), a.extracted(spark, sf_dir), ascii_only=True
-    )
+    return archives.verify_archives(a.manifest(spark, sf_dir), a.extracted(spark, sf_dir))
 
 
 @query("verify_archives", o.with_tables(o.MANIFEST, _STATUS, select="SELECT * FROM statuses"))

@@ -41,7 +41,20 @@ def content_fingerprints(spark, sf_dir):
     return media.hash_content(_binary(spark, sf_dir)).drop("crc32")
 
 
-@query("content_checksums")
+#: CRC-32 by its table of 256 remainders, over all bytes.
+_CRC32 = """remainders AS (
+  SELECT list(r ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r FROM range(256) AS n(i))
+), bytes AS (
+  SELECT path, octet_length(content) AS size, list_transform(range(octet_length(content)),
+    lambda k: ('0x' || substr(hex(content), 2 * k + 1, 2))::BIGINT) AS b FROM blobs
+)"""
+
+
+@query("content_checksums", o.with_tables(
+    _CONTENT, _CRC32, select="""SELECT path, size, format('{:08x}', xor(4294967295,
+      list_reduce(list_prepend(4294967295::BIGINT, b),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])))) AS crc32 FROM bytes, remainders"""))
 def content_checksums(spark, sf_dir):
     return media.hash_content(_binary(spark, sf_dir)).select("path", "size", "crc32")
 
@@ -344,7 +357,7 @@ def media_items(spark, sf_dir):
     links = _links(spark, sf_dir)
     found = albums.discover_albums(
         a.files(spark, sf_dir, sizes=False),
-        albums.parse_album_json(a.album_json(spark, sf_dir)), RUN_NEW, ascii_only=True,
+        albums.parse_album_json(a.album_json(spark, sf_dir)), RUN_NEW,
     )
     merged = media.merge_metadata(
         links,
@@ -354,7 +367,7 @@ def media_items(spark, sf_dir):
     )
     digests = media.hash_content(docs.select("path", F.encode("text", "UTF-8").alias("content")))
     items = media.media_record(
-        albums.attach_album(merged, found), digests, RUN_NEW, a.at(NEW_SEEN), ascii_only=True
+        albums.attach_album(merged, found), digests, RUN_NEW, a.at(NEW_SEEN)
     )
     return items.select(
         "relative_path", "title", "file_size", "content_fingerprint", "sidecar_fingerprint",
@@ -379,7 +392,7 @@ _DISCOVERED = f"""SELECT {o.uuid5("album")} AS album_id, album AS album_folder_p
 def albums_found(spark, sf_dir):
     found = albums.discover_albums(
         a.files(spark, sf_dir, sizes=False),
-        albums.parse_album_json(a.album_json(spark, sf_dir)), RUN_NEW, ascii_only=True,
+        albums.parse_album_json(a.album_json(spark, sf_dir)), RUN_NEW,
     )
     return found.select(
         "album_id", "album_folder_path", "title", "description", "access_level",

@@ -301,12 +301,15 @@ def time_matches(spark, sf_dir):
 
 @query("title_time_matches", o.with_tables(
     o.SHAPED, o.MEDIA, o.SIDECARS,
-    select="""SELECT s.path AS sidecar_path, m.path AS media_path,
-        (CASE WHEN m.doc_id % 3 = 0 THEN 1 WHEN m.doc_id % 3 = 1 THEN 2 ELSE 0 END)::DOUBLE AS seconds_apart
-      FROM sidecars s JOIN media m ON m.doc_id = s.doc_id
-      WHERE m.doc_id % 3 <> 1 AND s.doc_id % 41 <> 0 AND s.doc_id % 7 <= 3"""))
+    select="""SELECT sidecar_path, media_path, apart::DOUBLE AS seconds_apart FROM (
+      SELECT s.path AS sidecar_path, m.path AS media_path,
+        abs(m.stamp + CASE m.doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END
+          - CASE WHEN s.doc_id % 7 <= 4 THEN m.stamp
+              WHEN s.doc_id % 7 = 5 THEN epoch(make_timestamp(2019, 3, 1 + s.doc_id % 28, 13, 2, 3))::BIGINT END) AS apart
+      FROM sidecars s JOIN media m ON m.doc_id = s.doc_id WHERE s.doc_id % 41 <> 0)
+    WHERE apart <= 1"""))
 def title_time_matches(spark, sf_dir):
-    parsed = media_ops.parse_sidecars(a.sidecars(spark, sf_dir).filter(F.col("doc_id") % 7 <= 3))
+    parsed = media_ops.parse_sidecars(a.sidecars(spark, sf_dir))
     orphans = parsed.select(
         "path",
         names.parent(F.col("path")).alias("album"),

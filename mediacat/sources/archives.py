@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +21,8 @@ def archive_manifest(archives: DataFrame, root: str, tasks: int | None = None) -
     """(archive, format, member, size, crc32) of listed archives.
 
     Archives are spread over the tasks and their members streamed; only zip members
-    carry a checksum. An archive that cannot be opened gives no rows.
+    carry a checksum. An archive that cannot be opened, or not read to its end, gives a
+    row without member, besides those of the members found.
     """
     columns, full = ["archive", "format", "member", "size", "crc32"], _BATCH
 
@@ -44,8 +46,8 @@ def archive_manifest(archives: DataFrame, root: str, tasks: int | None = None) -
                         if len(rows) == full:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
-                except (OSError, zipfile.BadZipFile, tarfile.TarError):
-                    continue
+                except (OSError, EOFError, zlib.error, zipfile.BadZipFile, tarfile.TarError):
+                    rows.append((path, kind, None, None, None))
         yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64", "crc32": "Int64"})
 
     spread = archives.select("path", "format").repartition(spread_tasks(archives, tasks), "path")

@@ -91,31 +91,39 @@ def file_digests(
     )
 
 
-def json_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, raw) of the JSON files of an export, each read whole."""
-    rows = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.[jJ][sS][oO][nN]")
-        .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("raw"))
-    )
-    return rows.select(_relative(F.col("uri"), root).alias("path"), "raw")
+def json_files(files: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+    """(path, raw) of the listed JSON files, each read whole; raw is NULL where that fails.
+
+    ``files`` is the inventory of ``root``. Spark's text reader would leave out names and
+    folders that begin with an underscore or a dot, and empty files.
+    """
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    with open(os.path.join(root, path), encoding="utf-8-sig", errors="replace") as handle:
+                        raw = handle.read()
+                except OSError:
+                    raw = None
+                yield pd.DataFrame({"path": [path], "raw": pd.Series([raw], dtype="object")})
 
-def sidecar_json(spark: SparkSession, root: str) -> DataFrame:
-    """Raw text of the sidecars."""
+    listed = files.filter(F.rlike("path", F.lit(r"(?i)\.json$"))).select("path")
+    return listed.repartition(spread_tasks(files, tasks), "path").mapInPandas(read, "path string, raw string")
+
+
+def sidecar_json(files: DataFrame, root: str) -> DataFrame:
+    """Raw text of the sidecars of an inventory."""
     name = F.substring_index("path", "/", -1)
-    return json_files(spark, root).filter(
-        F.contains("path", F.lit("/")) & (name != fixed.ALBUM_METADATA_NAME)
-    )
+    wanted = F.contains("path", F.lit("/")) & (name != fixed.ALBUM_METADATA_NAME)
+    return json_files(files.filter(wanted), root)
 
 
-def album_json(spark: SparkSession, root: str) -> DataFrame:
-    """Raw text of the album metadata files."""
+def album_json(files: DataFrame, root: str) -> DataFrame:
+    """Raw text of the album metadata files of an inventory."""
     name = F.substring_index("path", "/", -1)
-    return json_files(spark, root).filter(
-        F.contains("path", F.lit("/")) & (name == fixed.ALBUM_METADATA_NAME)
-    )
+    wanted = F.contains("path", F.lit("/")) & (name == fixed.ALBUM_METADATA_NAME)
+    return json_files(files.filter(wanted), root)
 
 
 def exif_dump(spark: SparkSession, location: str) -> DataFrame:

@@ -78,6 +78,12 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("file_inventory").load(scan_root(root))
 
 
+def listed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All files below a folder that is no export, its own files included."""
+    spark.dataSource.register(FileInventorySource)
+    return spark.read.format("file_inventory").load(folder)
+
+
 def archive_inventory(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """Archives below ``root`` in name order."""
     spark.dataSource.register(FileInventorySource)

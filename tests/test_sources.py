@@ -121,11 +121,50 @@ def test_archives_on_disk(spark, tmp_path):
     rows = {(r.archive, r.member): (r.size, r.crc32) for r in
             archive_source.archive_manifest(found, str(tmp_path)).collect()}
     assert rows[("a-002.tgz", "A/note.txt")] == (4, None)
-    assert rows[("b-001.zip", "A/x?.jpg")] == (5, 0x3610A686) and len(rows) == 3
+    assert rows[("b-001.zip", "A/x?.jpg")] == (5, 0x3610A686) and len(rows) == 4
+    assert rows[("c.zip", None)] == (None, None)
     extracted = spark.createDataFrame([("b-001.zip", "A/x_.jpg", 5, 0x3610A686), ("b-001.zip", "A/ü.jpg", 0, 0)],
                                       "archive string, path string, size bigint, crc32 bigint")
     verdicts = archives.archive_verdicts(jobs.verify_export_archives(spark, str(tmp_path), extracted))
-    assert {r.archive: r.valid for r in verdicts.collect()} == {"b-001.zip": True, "a-002.tgz": False}
+    assert {r.archive: r.valid for r in verdicts.collect()} == {"b-001.zip": True, "a-002.tgz": False, "c.zip": False}
+
+
+def test_from_archive_and_folder_to_verdict(spark, tmp_path):
+    archives_at, out = tmp_path / "archives", tmp_path / "out"
+    archives_at.mkdir()
+    with zipfile.ZipFile(archives_at / "one.zip", "w") as z:
+        z.writestr("A/u\u0308.jpg", b"decomposed")  # extracted under its composed name
+        z.writestr("A/x.jpg", b"hello")
+    with zipfile.ZipFile(archives_at / "two.zip", "w") as z:
+        z.writestr("B/y.jpg", b"world")
+    cut = (archives_at / "two.zip").read_bytes()
+    (archives_at / "cut.zip").write_bytes(cut[: len(cut) // 2])
+    _write(out / "one", {"A/\u00fc.jpg": "decomposed", "A/x.jpg": "hello"})
+    _write(out / "two", {"B/y.jpg": "wOrld"})
+    found = jobs.extracted_files(spark, str(out / "one"), "one.zip").unionByName(
+        jobs.extracted_files(spark, str(out / "two"), "two.zip"))
+    verified = jobs.verify_export_archives(spark, str(archives_at), found)
+    assert {(r.archive, r.member, r.status) for r in verified.collect()} == {
+        ("one.zip", "A/u\u0308.jpg", "ok"), ("one.zip", "A/x.jpg", "ok"), ("two.zip", "B/y.jpg", "crc_mismatch"),
+        ("cut.zip", None, "unreadable")}
+    twice = found.unionByName(found.withColumn("path", F.translate("path", "\u00fc", "\u00fc")))
+    assert jobs.verify_export_archives(spark, str(archives_at), twice).count() == 4
+
+
+def test_no_sidecar_is_lost(spark, tmp_path):
+    text = '{"title":"T","photoTakenTime":{"timestamp":"1609459200"}}'
+    base = "Takeout/Google Photos/"
+    _write(tmp_path, {
+        base + "Trip/_x.jpg": "1", base + "Trip/_x.jpg.json": text, base + "Trip/.h.jpg": "2", base + "Trip/.h.jpg.json": text,
+        base + "Trip/e.jpg": "3", base + "Trip/e.jpg.json": "", base + "_Under/metadata.json": '{"title":"Under"}', base + "_Under/a.jpg": "4",
+    })
+    now = F.lit("2024-01-01").cast("timestamp")
+    scan = jobs.scan_export(spark, str(tmp_path), spark.createDataFrame([], EXIF_DUMP), spark.createDataFrame([], PROBE_DUMP), "run", now, now)
+    items = {r.relative_path: r for r in scan.items.collect()}
+    for name in ("Trip/_x.jpg", "Trip/.h.jpg"):
+        assert items[name].sidecar_fingerprint and items[name].capture_timestamp.timestamp() == 1609459200
+    assert [r.relative_path for r in scan.errors.collect()] == ["Trip/e.jpg.json"]
+    assert {r.title for r in scan.albums.collect()} == {"Trip", "Under"}
 
 
 def test_dumps_logs_and_error_sink(spark, tmp_path):
