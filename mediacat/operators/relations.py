@@ -12,11 +12,15 @@ def present_in_run(items: DataFrame, scan_run_id: str) -> DataFrame:
     return items.filter((F.col("scan_run_id") == scan_run_id) & (F.col("status") == "present"))
 
 
+_SALTS = 16
+
+
 def duplicate_groups(items: DataFrame) -> DataFrame:
     """Every file that shares size and checksum with another, with its group.
 
-    first_path is the member seen first. Groups are summarised before the rows are joined
-    back, so a group of any size is never gathered in one place.
+    first_path is the member seen first. Groups are summarised first. One group may hold
+    any share of the files (all empty ones are equal), so its summary is repeated for a few
+    salts and the files are joined to it by group and salt.
     """
     order = F.struct("first_seen_timestamp", "relative_path")
     groups = (
@@ -24,10 +28,12 @@ def duplicate_groups(items: DataFrame) -> DataFrame:
         .groupBy("file_size", "crc32")
         .agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first"))
         .filter(F.col("copies") > 1)
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     )
+    salt = F.pmod(F.xxhash64("relative_path"), F.lit(_SALTS)).cast("int").alias("salt")
     return (
-        items.select("relative_path", "file_size", "crc32", "first_seen_timestamp")
-        .join(groups, ["file_size", "crc32"])
+        items.select("relative_path", "file_size", "crc32", "first_seen_timestamp", salt)
+        .join(groups, ["file_size", "crc32", "salt"])
         .select(
             "file_size",
             "crc32",
