@@ -51,6 +51,18 @@ def sidecar_errors(parsed: DataFrame, scan_run_id: str, now: Column) -> DataFram
     )
 
 
+def file_errors(digests: DataFrame, scan_run_id: str, now: Column) -> DataFrame:
+    """Error records of media files that could not be read."""
+    return digests.filter(F.col("size").isNull()).select(
+        F.lit(scan_run_id).alias("scan_run_id"),
+        F.col("path").alias("relative_path"),
+        F.lit("media_file").alias("error_type"),
+        F.lit("io_error").alias("error_category"),
+        F.lit("file cannot be read").alias("error_message"),
+        now.alias("timestamp"),
+    )
+
+
 def normalize_tags(exif_dump: DataFrame) -> DataFrame:
     """Named tag columns per file."""
     return exif_dump.select("path", *exif.tag_columns(F.col("tags")))

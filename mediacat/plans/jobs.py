@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from mediacat import schemas
 from mediacat.functions import names
 from mediacat.operators import (
     albums, archives, files as file_ops, linking, media, people, relations, reports, rescan, runs,
@@ -181,6 +182,8 @@ class Scan:
     items: DataFrame
     errors: DataFrame
     run: DataFrame
+    people: DataFrame
+    people_tags: DataFrame
 
 
 def scan_export(
@@ -193,8 +196,13 @@ def scan_export(
     now: Column,
     stored_items: DataFrame | None = None,
     stored_albums: DataFrame | None = None,
+    stored_people: DataFrame | None = None,
+    stored_tags: DataFrame | None = None,
 ) -> Scan:
-    """A whole scan of an export folder: inventory, links, albums, records, run row."""
+    """A whole scan of an export folder: inventory, links, albums, records, run row, people.
+
+    Media that cannot be read give an error row and stay out of the catalog.
+    """
     require_utc(spark)
     base = inventory.scan_root(root)
     # Listing folders and reading files are the dear steps; each is done once and kept.
@@ -209,35 +217,57 @@ def scan_export(
     todo = links
     if stored_items is not None:
         todo = _new_or_changed(links, raw, base, stored_items, started)
+    digests = checkpointed(content.file_digests(todo, base))
+    readable = digests.filter(F.col("size").isNotNull())
     records = build_media(
-        files, todo, raw, content.file_digests(todo, base), exif_dump, probe_dump, album_table,
-        scan_run_id, now,
+        files, todo, raw, readable, exif_dump, probe_dump, album_table, scan_run_id, now
     )
     if stored_items is None:
-        items = checkpointed(records)
+        changes = checkpointed(records.withColumn("change_type", F.lit("new")))
+        gone = {}
     else:
         same = links.join(todo.select("path"), "path", "left_anti").select(
             names.normalize_path(F.col("path")).alias("relative_path")
         )
         unchanged = stored_items.join(same, "relative_path", "left_semi")
         scan = records.unionByName(unchanged.select(*records.columns))
-        items = checkpointed(
-            rescan_catalog(scan, stored_items, scan_run_id, started, now).drop("change_type")
-        )
-    parsed = media.parse_sidecars(raw)
+        changes = checkpointed(rescan_catalog(scan, stored_items, scan_run_id, started, now))
+        was_there = stored_items.filter("status = 'present'").select("relative_path")
+        gone = {
+            f"{state}_files": changes.filter(F.col("status") == state)
+            .join(was_there, "relative_path", "left_semi").agg(F.count(F.lit(1))).scalar()
+            for state in ("missing", "inconsistent")
+        }
+    items = changes.drop("change_type")
+    parsed = checkpointed(media.parse_sidecars(raw))
     linked = todo.select(F.col("sidecar_path").alias("path"))
-    errors = media.sidecar_errors(parsed.join(linked, "path", "left_semi"), scan_run_id, now)
+    unread = checkpointed(media.file_errors(digests, scan_run_id, now))
+    errors = unread.unionByName(
+        media.sidecar_errors(parsed.join(linked, "path", "left_semi"), scan_run_id, now)
+    )
+    named = (
+        media.join_sidecars(todo, parsed.select("path", "people"))
+        .filter(F.size("people") > 0)
+        .select(names.normalize_path(F.col("path")).alias("relative_path"), "people")
+        .join(items.select("relative_path", "media_item_id"), "relative_path")
+    )
+    if stored_people is None:
+        stored_people = spark.createDataFrame([], schemas.PEOPLE)
+    if stored_tags is None:
+        stored_tags = spark.createDataFrame([], schemas.PEOPLE_TAGS)
+    everyone, tags = tag_people(named.select("media_item_id", "people"), stored_people, stored_tags)
     counters = reports.discovery_counters(files, links)
+    kinds = reports.run_counters(changes, unread)
     run = runs.complete_run(
         runs.update_run(
             runs.start_run(spark, scan_run_id, started),
             **{c: counters.select(c).scalar() for c in counters.columns},
+            **{c: kinds.select(c).scalar() for c in kinds.columns},
+            **gone,
             metadata_files_processed=counters.select("metadata_files_discovered").scalar(),
-            media_files_processed=items.filter(F.col("scan_run_id") == scan_run_id)
-            .agg(F.count(F.lit(1))).scalar(),
             albums_total=album_table.filter(F.col("scan_run_id") == scan_run_id)
             .agg(F.count(F.lit(1))).scalar(),
         ),
         now,
     )
-    return Scan(files, links, album_table, items, errors, run)
+    return Scan(files, links, album_table, items, errors, run, everyone, tags)

@@ -92,6 +92,7 @@ def test_scan_of_an_export(spark, export):
     run = scan.run.first()
     assert (run.media_files_discovered, run.metadata_files_discovered, run.media_files_with_metadata) == (7, 2, 3)
     assert (run.media_files_processed, run.albums_total) == (7, 2)
+    assert (run.media_new_files, run.media_changed_files, run.media_error_files) == (7, 0, 0)
 
     sinks.write_catalog(scan.items, str(export / "catalog"), 1)
     stored = sinks.read_catalog(spark, str(export / "catalog"), 1)
@@ -101,6 +102,9 @@ def test_scan_of_an_export(spark, export):
     again = jobs.scan_export(spark, str(export), exif, probe, "run 2", later, later, stored, scan.albums)
     states = {r.relative_path: (r.status, r.scan_run_id, r.first_seen_timestamp == r.last_seen_timestamp)
               for r in again.items.collect()}
+    second = again.run.first()
+    assert (second.media_new_files, second.media_changed_files, second.media_unchanged_files, second.missing_files) == (0, 1, 5, 1)
+    assert reports.counter_audit(again.run, again.items, again.albums, "run 2").first().media_difference == 0
     assert states["Photos from 2021/_under.jpg"] == ("missing", "run", True)
     assert states["Photos from 2021/empty.jpg"] == ("present", "run 2", True)
     assert states["Photos from 2021/photo.jpg"] == ("present", "run 2", False)
@@ -152,7 +156,7 @@ def test_from_archive_and_folder_to_verdict(spark, tmp_path):
 
 
 def test_no_sidecar_is_lost(spark, tmp_path):
-    text = '{"title":"T","photoTakenTime":{"timestamp":"1609459200"}}'
+    text = '{"title":"T","photoTakenTime":{"timestamp":"1609459200"},"people":[{"name":"Ann"}]}'
     base = "Takeout/Google Photos/"
     _write(tmp_path, {
         base + "Trip/_x.jpg": "1", base + "Trip/_x.jpg.json": text, base + "Trip/.h.jpg": "2", base + "Trip/.h.jpg.json": text,
@@ -164,6 +168,7 @@ def test_no_sidecar_is_lost(spark, tmp_path):
     for name in ("Trip/_x.jpg", "Trip/.h.jpg"):
         assert items[name].sidecar_fingerprint and items[name].capture_timestamp.timestamp() == 1609459200
     assert [r.relative_path for r in scan.errors.collect()] == ["Trip/e.jpg.json"]
+    assert [r.person_name for r in scan.people.collect()] == ["Ann"] and scan.people_tags.count() == 2
     assert {r.title for r in scan.albums.collect()} == {"Trip", "Under"}
 
 
