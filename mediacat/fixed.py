@@ -67,6 +67,7 @@ FINGERPRINT_HEAD_BYTES = 65536
 FINGERPRINT_TAIL_BYTES = 65536
 UNKNOWN_MIME = "application/octet-stream"
 # (mime type, byte offset, hex of the bytes found there); the first hit wins.
+ANYWHERE = -1
 MAGIC_BYTES = [
     ("image/jpeg", 0, "FFD8FF"),
     ("image/png", 0, "89504E47"),
@@ -87,15 +88,22 @@ MAGIC_BYTES = [
     ("video/mp4", 4, "6674797061766331"),
     ("video/mp4", 4, "6674797064617368"),
     ("video/mp4", 4, "667479704D534E56"),
-    ("video/webm", 31, "7765626D"),
-    ("video/x-matroska", 31, "6D6174726F736B61"),
+    ("video/webm", ANYWHERE, "7765626D"),
+    ("video/x-matroska", ANYWHERE, "6D6174726F736B61"),
     ("video/x-msvideo", 8, "41564920"),
     ("video/mpeg", 0, "000001BA"),
     ("video/mpeg", 0, "000001B3"),
     ("video/x-ms-wmv", 0, "3026B2758E66CF11A6D9"),
     ("video/x-flv", 0, "464C5601"),
 ]
-MAGIC_HEAD_BYTES = 64
+MAGIC_HEAD_BYTES = 4096
+# What must stand at the very beginning besides.
+MAGIC_CONTAINERS = {
+    "image/webp": "52494646",
+    "video/x-msvideo": "52494646",
+    "video/webm": "1A45DFA3",
+    "video/x-matroska": "1A45DFA3",
+}
 
 # --- fixed values: identifiers --------------------------------------------------
 UUID_DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
@@ -175,3 +183,10 @@ LOG_EVENTS = [
     ("match_rate", ["match rate"]),
     ("multiple_sidecars_warning", ["multiple sidecars for media file"]),
 ]
+
+# --- fixed values: texts of tag values and log lines ------------------------------
+DEGREES_PATTERN = r"""^(\d+) deg (\d+)' ([\d.]+)" ([NSEW])"""
+ALTITUDE_PATTERN = r"^([\d.]+)"
+LOG_MATCHES_PATTERN = r"(\d+)\s+matches?"
+LOG_UNMATCHED_PATTERN = r"(\d+)\s+media files?.*?(\d+)\s+sidecars?"
+LOG_RATE_PATTERN = r"(\d+\.?\d*)%"

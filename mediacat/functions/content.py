@@ -25,11 +25,17 @@ def sidecar_fingerprint(content: Column) -> Column:
 
 
 def sniff_mime(content: Column) -> Column:
-    """MIME type told from the first bytes."""
+    """MIME type told from the first bytes; the document type of a container may stand
+    anywhere in its header."""
     head = F.hex(F.substring(content, 1, fixed.MAGIC_HEAD_BYTES))
     found = None
     for mime, offset, magic in fixed.MAGIC_BYTES:
-        hit = F.substring(head, 2 * offset + 1, len(magic)) == magic
+        if offset == fixed.ANYWHERE:
+            hit = F.rlike(head, F.lit(f"^(?:[0-9A-F]{{2}})*?{magic}"))
+        else:
+            hit = F.substring(head, 2 * offset + 1, len(magic)) == magic
+        if mime in fixed.MAGIC_CONTAINERS:
+            hit = F.startswith(head, F.lit(fixed.MAGIC_CONTAINERS[mime])) & hit
         found = F.when(hit, mime) if found is None else found.when(hit, mime)
     return found.otherwise(fixed.UNKNOWN_MIME)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from mediacat import fixed
 from mediacat.functions import times
 
 
@@ -38,10 +39,9 @@ def gps_dms(parts: Column, ref: Column) -> Column:
 
 def gps_text(text: Column) -> Column:
     """Degrees from ``37 deg 46' 29.64" N`` or from a decimal whose letter is dropped."""
-    pattern = r"""^(\d+) deg (\d+)' ([\d.]+)" ([NSEW])"""
 
     def group(index: int) -> Column:
-        return _found(text, pattern, index)
+        return _found(text, fixed.DEGREES_PATTERN, index)
 
     degrees = (
         group(1).try_cast("double")
@@ -55,7 +55,7 @@ def gps_text(text: Column) -> Column:
 
 def altitude_text(text: Column) -> Column:
     """Leading number, negative when the text says below."""
-    number = _found(text, r"^([\d.]+)", 1).try_cast("double")
+    number = _found(text, fixed.ALTITUDE_PATTERN, 1).try_cast("double")
     return F.when(F.contains(F.lower(text), F.lit("below")), -number).otherwise(number)
 
 

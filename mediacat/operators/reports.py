@@ -402,14 +402,14 @@ def log_match_statistics(lines: DataFrame) -> DataFrame:
     def number(name: str, pattern: str, group: int = 1) -> Column:
         return F.coalesce(last(name, pattern, group).try_cast("bigint"), F.lit(0))
 
-    both = r"(\d+)\s+media files?.*?(\d+)\s+sidecars?"
+    both, matches = fixed.LOG_UNMATCHED_PATTERN, fixed.LOG_MATCHES_PATTERN
     found = lines.agg(
-        number("phase_1_happy_path", r"(\d+)\s+matches?").alias("phase1"),
-        number("phase_2_numbered_files", r"(\d+)\s+matches?").alias("phase2"),
-        number("phase_3_edited_files", r"(\d+)\s+matches?").alias("phase3"),
+        number("phase_1_happy_path", matches).alias("phase1"),
+        number("phase_2_numbered_files", matches).alias("phase2"),
+        number("phase_3_edited_files", matches).alias("phase3"),
         number("phase_4_unmatched", both, 1).alias("unmatched_media"),
         number("phase_4_unmatched", both, 2).alias("unmatched_sidecars"),
-        last("match_rate", r"(\d+\.?\d*)%").alias("rate"),
+        last("match_rate", fixed.LOG_RATE_PATTERN).alias("rate"),
         F.count_if(event == "multiple_sidecars_warning").alias("multiple_sidecars_warnings"),
     )
     return found.select(

@@ -31,6 +31,10 @@ def test_mime(spark):
         (b"\0\0\0\x18ftypheic", "image/heic"),
         (b"\0\0\0\x14ftypqt  ", "video/quicktime"),
         (b"RIFF\0\0\0\0AVI LIST", "video/x-msvideo"),
+        (b"WAVE\0\0\0\0AVI LIST", "application/octet-stream"),
+        (b"\x1aE\xdf\xa3" + b"\0" * 700 + b"webm", "video/webm"),
+        (b"\x1aE\xdf\xa3\x01" + b"B\x82\x88matroska", "video/x-matroska"),
+        (b"text about webm and matroska" + b" " * 20, "application/octet-stream"),
         (b"This is not a recognized file type", "application/octet-stream"),
         (b"", "application/octet-stream"),
     ]
