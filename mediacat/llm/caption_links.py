@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from mediacat.llm.components import components, lookup
+from mediacat.llm.components import components, lookup, release
 from mediacat.llm.prefix_tree import PrefixTree
 from mediacat.llm.shingles import shingle_sets, signature
 from mediacat.session import checkpointed
@@ -57,6 +57,7 @@ def caption_links(
     shared = captions.sparkSession.sparkContext.broadcast(ranks)
     heads = checkpointed(_heads(captions, shared, shingle_words, numerator, denominator))
     total = heads.count()
+    release(heads.sparkSession)
     ids = heads.select("media_item_id", "n_shingles", "signature")
     classes = checkpointed(
         ids.filter("signature IS NOT NULL").groupBy("signature")
@@ -250,9 +251,13 @@ def _join(captions, heads, classes, size, numerator, denominator) -> tuple[DataF
         return _linked(rows, key, numerator, denominator)
 
     wide = family(_candidates(heads, numerator, denominator))
+    release(captions.sparkSession)
     closer = checkpointed(_by_family(wide, heads.select("signature", F.col("head").alias("tokens")), near))
+    release(captions.sparkSession)
     members = family(closer.filter("a <> b").select("a", "b"))
+    release(captions.sparkSession)
     met = checkpointed(_by_family(members, _sets(captions, members, size), linked))
+    release(captions.sparkSession)
     weights = met.groupBy(F.col("b").alias("signature")).agg(F.sum("weight").alias("weight"))
     return met.filter("a <> b").select("a", "b"), weights
 
@@ -370,14 +375,28 @@ def _near(rows: dict, key: tuple, numerator: int, denominator: int) -> pa.Record
 
 
 def _linked(rows: dict, key: tuple, numerator: int, denominator: int) -> pa.RecordBatch:
-    """Links among the sets of one family, or between two of its blocks."""
-    tree = PrefixTree([row[3] for row in rows.values()], numerator, denominator)
-    return _joined(rows, key, lambda x: np.array(tree.similar(x)))
+    """Links among the sets of one family, or between two of its blocks.
+
+    Of two blocks one makes the tree and the other one looks its sets up.
+    """
+    sets = [row[3] for row in rows.values()]
+    _, i, j = key
+    at = [n for n, row in enumerate(rows.values()) if row[0] == j]
+    if not at:
+        return _joined(rows, key, lambda x: np.zeros(0, np.int64))
+    tree = PrefixTree([sets[n] for n in at], numerator, denominator)
+    places = np.array(at)
+    looked_up = set(range(len(sets))) if i == j else set(range(len(sets))) - set(at)
+
+    def similar(x: int) -> np.ndarray:
+        return places[tree.similar(sets[x])] if x in looked_up else np.zeros(0, np.int64)
+
+    return _joined(rows, key, similar, one_way=i != j)
 
 
-def _joined(rows: dict, key: tuple, similar) -> pa.RecordBatch:
+def _joined(rows: dict, key: tuple, similar, one_way: bool = False) -> pa.RecordBatch:
     """One row per set: b is the set, a the smallest it reaches here, weight the rows of
-    the other sets it links with."""
+    the other sets it links with. ``one_way``: each link is reported for one of its sets."""
     _, i, j = key
     names = np.array(list(rows), np.int64)
     blocks = np.array([row[0] for row in rows.values()])
@@ -396,7 +415,9 @@ def _joined(rows: dict, key: tuple, similar) -> pa.RecordBatch:
         others = others[others != x]
         if i != j:
             others = others[blocks[others] != blocks[x]]
-        weight[x] = copies[others].sum()
+        weight[x] += copies[others].sum()
+        if one_way:
+            weight[others] += copies[x]
         for y in others:
             a, b = top(x), top(int(y))
             if a != b:

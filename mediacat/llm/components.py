@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -29,20 +30,37 @@ def lookup(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame
     return left.join(F.broadcast(hot), key).unionByName(even).drop("n")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles of finished steps.
+
+    It does so when the driver collects its garbage, which in a job of many steps on a
+    mostly idle driver may be much later than the disks of the executors would like.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+_ROWS_A_TASK = 20_000
+
+
 @contextmanager
-def one_plan(spark: SparkSession) -> Iterator[None]:
-    """Runs what is inside without adaptive re-planning.
+def one_plan(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Runs what is inside without adaptive re-planning, in as many tasks as ``rows`` need.
 
-    The rounds below are many small plans. Re-planned after each exchange, they fill the
-    driver with threads and plans; their hot keys are seen to by ``lookup``.
+    The rounds below are many small plans. Re-planned after each exchange, or dealt out to
+    as many tasks as large tables get, they fill the driver with threads and task metrics.
+    Their hot keys are seen to by ``lookup``.
     """
-    name = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // _ROWS_A_TASK + 1)
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(tasks)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -55,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     current = checkpointed(edges.select(low.alias("a"), high.alias("b")).distinct())
-    with one_plan(edges.sparkSession):
+    with one_plan(edges.sparkSession, current.count()):
         return _hang(current)
 
 

@@ -74,11 +74,13 @@ class PrefixTree:
         self.at = [sets_at[n] for n in nodes]
         self.ending = np.array([len(a) > 0 for a in self.at])
 
-    def similar(self, i: int) -> list[int]:
-        """Sets j, i itself among them, with |i & j| / |i | j| at or above the threshold."""
-        own = self.ids[i]
+    def similar(self, tokens: np.ndarray) -> list[int]:
+        """Sets s of the tree with |s & tokens| / |s | tokens| at or above the threshold."""
         a, b = self.numerator, self.denominator
-        size = len(own)
+        size = len(tokens)
+        at = np.searchsorted(self.names, tokens)
+        at[at == len(self.names)] = 0
+        own = at[self.names[at] == tokens]
         self.member[own] = True
         found: list[int] = []
         alive = np.zeros(0, np.int64)
@@ -101,7 +103,7 @@ class PrefixTree:
             begin = np.cumsum(length) - length
             index = np.repeat(first - begin, length) + np.arange(length.sum())
             overlap = before + np.add.reduceat(self.member[self.tokens[index]].astype(np.int64), begin)
-            left = size - np.searchsorted(own, self.last[nodes], side="right")
+            left = size - np.searchsorted(tokens, self.names[self.last[nodes]], side="right")
             most = overlap + np.minimum(left, self.largest[nodes] - self.depth[nodes])
             smallest = np.maximum(self.smallest[nodes], -(-a * size // b))
             good = most * (a + b) >= a * (size + smallest)
