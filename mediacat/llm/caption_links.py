@@ -274,6 +274,7 @@ def _by_family(members: DataFrame, tokens: DataFrame, link) -> DataFrame:
     few = F.greatest(F.ceil(F.col("volume") / _BLOCK_TOKENS), hot)
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("volume"))
     sizes = checkpointed(sizes.select("component", "n", few.cast("int").alias("blocks")))
+    release(members.sparkSession)
     block = F.pmod(F.xxhash64("signature"), F.col("blocks")).cast("int")
     kept = ["signature", "n_shingles", "component", "copies", "block"]
     routes = (

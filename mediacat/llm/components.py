@@ -34,7 +34,8 @@ def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffles of finished steps.
 
     It does so when the driver collects its garbage, which in a job of many steps on a
-    mostly idle driver may be much later than the disks of the executors would like.
+    mostly idle driver may be much later than the disks of the executors would like. Each
+    stage also leaves the driver a buffer of some megabytes from sending out its tasks.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -95,6 +96,7 @@ def _hang(current: DataFrame) -> DataFrame:
         again = small.filter("m <> least").select(F.col("least").alias("a"), F.col("m").alias("b"))
         hung = small.select(F.col("least").alias("a"), "b")
         stars = checkpointed(again.unionByName(hung).distinct())
+        release(stars.sparkSession)
     roots = stars.select(F.col("b").alias("node"), F.col("a").alias("component"))
     own = stars.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("component"))
     found = roots.unionByName(own)
