@@ -17,11 +17,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mediacat.llm.components import lookup
 from mediacat.session import checkpointed
 
-#: Fixed values: (kind, pattern), tried in this order at each place of a text.
+#: The word that gives a secret away, in any case, up to the secret itself.
+_LED = r"(?i:%s)[\"']?+\s*+[=:]\s*+[\"']?+"
+
+#: Fixed values: (kind, pattern), tried in this order at each place of a text. What
+#: ``_LEAD`` finds at the beginning of a match stays in the text and is no part of the entity.
 PATTERNS = [
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
     ("secret", r"AKIA[0-9A-Z]{16}"),
-    ("secret", r"(?<=token = \")[0-9a-f]{32,}(?=\")|(?<=password=)[^\s\"']{6,}"),
+    ("secret", _LED % "token" + r"[0-9A-Fa-f]{32,}"),
+    ("secret", _LED % "password" + r"[^\s\"']{6,}"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b"),
     ("phone", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"),
     ("phone", r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b|\b[0-9]{3}-[0-9]{3}-[0-9]{4}\b"),
@@ -32,10 +37,11 @@ PATTERNS = [
     ("name_f", r"(?<=\bMrs\.? |\bMs\.? |\bFrau |\bMadame |\bSeñora )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"),
 ]
 _ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+_LEAD = "^" + _LED % "token|password"
 
 #: Something of this is in every text with an entity; it is much cheaper to look for.
 _HINT = (
-    r"@|AKIA|password=|token = |\+[0-9]|\([0-9]{3}\)|[A-Z]{2}[0-9]{2}"
+    r"@|AKIA|(?i:token|password)[\"']?+\s*+[=:]|\+[0-9]|\([0-9]{3}\)|[A-Z]{2}[0-9]{2}"
     r"|[0-9](?:[0-9]{2}-[0-9]{2}|[0-9]{3}[ -]?[0-9]{4}|[0-9]{0,2}\.[0-9]{1,3}\.[0-9])"
     r"|(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señora?)\.? "
 )
@@ -59,17 +65,22 @@ _MOST_DRAWS = 12
 
 
 def find_entities(text: Column) -> Column:
-    """All entities of a text in order; NULL has none."""
+    """All matches of a text in order, each an entity with its lead; NULL has none."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), F.array().cast("array<string>"))
 
 
-def kind_of(entity: Column) -> Column:
-    """The kind of a detected entity. What only its surroundings tell is decided by shape."""
+def lead_of(match: Column) -> Column:
+    """What a match has before its entity."""
+    return F.regexp_extract(match, _LEAD, 0)
+
+
+def kind_of(match: Column) -> Column:
+    """The kind of a match. What only its surroundings tell is decided by shape."""
     whole = [(k, p) for k, p in PATTERNS if not p.startswith("(?<=")]
     found = F.lit(None).cast("string")
     for kind, pattern in reversed(whole):
-        found = F.when(F.rlike(entity, F.lit(f"^(?:{pattern})$")), F.lit(kind)).otherwise(found)
-    name = F.rlike(entity, F.lit(r"^\p{Lu}[\p{L}'-]+( \p{Lu}[\p{L}'-]+)?$"))
+        found = F.when(F.rlike(match, F.lit(f"^(?:{pattern})$")), F.lit(kind)).otherwise(found)
+    name = F.rlike(match, F.lit(r"^\p{Lu}[\p{L}'-]+( \p{Lu}[\p{L}'-]+)?$"))
     return F.coalesce(found, F.when(name, F.lit("name")), F.lit("secret"))
 
 
@@ -108,6 +119,16 @@ def _like(text: Column, drawn: Column) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
+def _hex_like(entity: Column, drawn: Column) -> Column:
+    """As many hex digits; capital where the entity is in capitals or has a capital."""
+    digits = F.substring(drawn, F.lit(1), F.length(entity))
+    def one(c: Column, i: Column) -> Column:
+        digit = F.substring(drawn, i + 1, F.lit(1))
+        return F.when(F.rlike(c, F.lit("[A-F]")), F.upper(digit)).otherwise(digit)
+    mixed = F.array_join(F.transform(F.split(entity, ""), one), "")
+    return F.when(entity == F.lower(entity), digits).when(entity == F.upper(entity), F.upper(digits)).otherwise(mixed)
+
+
 def surrogate(entity: Column, kind: Column, key: str, draw: Column) -> Column:
     """The replacement of an entity at a draw. Late draws of short entities get longer."""
     drawn = _drawn(entity, key, draw)
@@ -121,8 +142,8 @@ def surrogate(entity: Column, kind: Column, key: str, draw: Column) -> Column:
     # the country code of a phone number and the fixed beginning of a key stay
     code = F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[ .(-])|^AKIA|^[A-Z]{2}(?=[0-9]{2})", 0)
     rest = F.substring(like, F.length(code) + 1, F.length(like))
-    hexed = F.rlike(entity, F.lit("^[0-9a-f]+$"))
-    secret = F.when(hexed, F.substring(drawn, F.lit(1), F.length(entity))).otherwise(F.concat(code, rest))
+    hexed = F.rlike(entity, F.lit("^[0-9A-Fa-f]+$"))
+    secret = F.when(hexed, _hex_like(entity, drawn)).otherwise(F.concat(code, rest))
     base = F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "secret", secret)
     base = base.when(F.startswith(kind, F.lit("name")), _name(entity, kind, drawn, number))
     fixed = base.otherwise(F.concat(code, rest))
@@ -190,22 +211,27 @@ def replace_entities(media_items: DataFrame, key: str) -> DataFrame:
     clean = items.filter(~has_any)
     marked = items.withColumn("_row", F.monotonically_increasing_id()).withColumn("_found", find_entities(text))
     touched = checkpointed(marked.filter(has_any))
-    own = touched.select("_row", F.explode(F.array_distinct("_found")).alias("entity"))
-    counted = checkpointed(own.groupBy("entity").agg(F.count("*").alias("n")))
-    kinds = counted.select("entity", kind_of(F.col("entity")).alias("kind"))
+    own = touched.select("_row", F.explode(F.array_distinct("_found")).alias("match"))
+    counted = own.groupBy("match").agg(F.count("*").alias("n")).withColumn("lead", lead_of(F.col("match")))
+    counted = checkpointed(counted.select(
+        "match", "n", "lead", F.expr("substring(match, length(lead) + 1)").alias("entity"), kind_of(F.col("match")).alias("kind"),
+    ))
+    kinds = counted.groupBy("entity").agg(F.min("kind").alias("kind"))
     assigned = assign_surrogates(kinds, key)
-    mapped = checkpointed(counted.join(assigned, "entity"))
+    mapped = checkpointed(counted.select("match", "n", "lead", "entity").join(assigned, "entity"))
     rows = counted.agg(F.sum("n")).first()[0] or 0
     known = (
-        lookup(own, mapped, "entity", rows).groupBy("_row")
-        .agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_map"))
+        lookup(own, mapped, "match", rows).groupBy("_row")
+        .agg(F.map_from_entries(F.collect_list(F.struct("match", F.struct("lead", "entity", "surrogate").alias("new")))).alias("_map"))
     )
     gaps = F.split(text, _ANY, -1)
-    inserted = F.concat(F.transform("_found", lambda e: F.element_at(F.col("_map"), e)), F.array(F.lit("")))
+    def new(match: Column) -> Column:
+        return F.element_at(F.col("_map"), match)
+    inserted = F.concat(F.transform("_found", lambda m: F.concat(new(m)["lead"], new(m)["surrogate"])), F.array(F.lit("")))
     replaced = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), inserted.alias("new")), lambda z: F.concat(z["gap"], z["new"])), "")
     done = touched.join(known, "_row").select(
         *[(replaced if c == "google_description" else F.col(c)).alias(c) for c in items.columns],
-        F.transform("_found", lambda e: F.struct(e.alias("entity"), F.element_at(F.col("_map"), e).alias("surrogate"))).alias("entities"),
+        F.transform("_found", lambda m: F.struct(new(m)["entity"].alias("entity"), new(m)["surrogate"].alias("surrogate"))).alias("entities"),
         F.size("_found").cast("bigint").alias("n_entities"),
     )
     untouched = clean.select("*", F.array().cast(pairs).alias("entities"), F.lit(0).cast("bigint").alias("n_entities"))
