@@ -6,7 +6,9 @@ Spherical-cap filters: a filter is a direction put together from one codeword pe
 the (rotated) dimensions, so a few codewords make very many directions. A vector belongs to
 every filter it has a large enough inner product with. Those are listed without trying all
 directions, by joining the sorted sums of the first and the second half of the blocks. How
-many filters a vector exceeds varies much with one code, so several rotated ones are used.
+many filters a vector exceeds varies much with one code, so several rotated ones are used:
+as many as it takes for a pair at the similarity asked for to share a filter with a
+probability of ``_RECALL``, whatever the size.
 Vectors that share a filter are compared exactly.
 """
 
@@ -15,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,17 @@ from mediacat.llm.shingles import mix
 from mediacat.session import checkpointed
 
 _BLOCKS = 4
-_CODES = 8
+_RECALL = 0.985
 _FILTERS_EACH = 4
+_MANY_CODES = 32
+_TRIED_CODES, _TRIED_EACH = 8, 40
 _GROUP_ROWS = 512
 
 
 class CapFilters:
     """The product code of one dimension and number of codewords; the same everywhere."""
 
-    def __init__(self, dimension: int, codewords: int, seed: int = 11):
+    def __init__(self, dimension: int, codewords: int, seed: int = 11, threshold: float = 0.0):
         rng = np.random.default_rng(seed)
         self.width = -(-dimension // _BLOCKS)
         padded = self.width * _BLOCKS
@@ -42,16 +46,17 @@ class CapFilters:
         code = rng.standard_normal((_BLOCKS, codewords, self.width))
         self.code = code / np.linalg.norm(code, axis=2, keepdims=True) / math.sqrt(_BLOCKS)
         self.codewords = codewords
-        directions = codewords**_BLOCKS
-        rare = min(0.2, _FILTERS_EACH / directions)
-        self.threshold = NormalDist().inv_cdf(1 - rare) / math.sqrt(padded)
+        self.threshold = threshold
 
-    def of(self, unit: np.ndarray) -> np.ndarray:
-        """Numbers of the filters that a unit vector exceeds; at least the nearest one."""
+    def sums(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products with the first and with the second half of each direction."""
         x = (unit @ self.rotation).reshape(_BLOCKS, self.width)
         scores = np.einsum("bkw,bw->bk", self.code, x)
-        head = (scores[0][:, None] + scores[1][None, :]).ravel()
-        tail = (scores[2][:, None] + scores[3][None, :]).ravel()
+        return (scores[0][:, None] + scores[1][None, :]).ravel(), (scores[2][:, None] + scores[3][None, :]).ravel()
+
+    def of(self, unit: np.ndarray) -> np.ndarray:
+        """Numbers of the filters that a unit vector exceeds; at least the nearest one."""
+        head, tail = self.sums(unit)
         order = np.argsort(-tail)
         reach = np.searchsorted(-tail[order], head - self.threshold, side="right")
         first = np.flatnonzero(reach)
@@ -61,6 +66,49 @@ class CapFilters:
         return np.sort(found)
 
 
+@lru_cache(maxsize=64)
+def cap_filters(dimension: int, codewords: int, similarity: float) -> list[CapFilters]:
+    """The codes for vectors of a dimension, the same everywhere.
+
+    Their threshold is taken from random unit vectors, which exceed ``_FILTERS_EACH``
+    filters of a code on average, and their number from random pairs at ``similarity``.
+    Where that takes more than ``_MANY_CODES``, the threshold is lowered first.
+    """
+    rng = np.random.default_rng([dimension, codewords])
+    tried = [CapFilters(dimension, codewords, seed) for seed in range(_TRIED_CODES)]
+    pairs = [_pair(rng, dimension, similarity) for _ in range(_TRIED_CODES * _TRIED_EACH)]
+    sums = [tried[i % _TRIED_CODES].sums(a) for i, (a, _) in enumerate(pairs)]
+    sums = [(head, np.sort(tail)) for head, tail in sums]
+    each, directions = _FILTERS_EACH, codewords**_BLOCKS
+    while True:
+        low, high = -1.01, 1.0
+        while each < directions and high - low > 1e-3:
+            middle = (low + high) / 2
+            found = sum(len(t) * len(h) - np.searchsorted(t, middle - h).sum() for h, t in sums) / len(sums)
+            low, high = (middle, high) if found > each else (low, middle)
+        threshold = high if each < directions else low
+        for code in tried:
+            code.threshold = threshold
+        met = [bool(np.intersect1d(tried[i % _TRIED_CODES].of(a), tried[i % _TRIED_CODES].of(b)).size) for i, (a, b) in enumerate(pairs)]
+        missed = 1 - np.mean(met)
+        codes = 1 if missed == 0 else math.inf if missed == 1 else math.ceil(math.log(1 - _RECALL) / math.log(missed))
+        if codes <= _MANY_CODES or each >= directions:
+            break
+        each *= 2
+    return [CapFilters(dimension, codewords, seed, threshold) for seed in range(codes)]
+
+
+def _pair(rng: np.random.Generator, dimension: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Two random unit vectors at a cosine; in one dimension two equal ones."""
+    a = _unit(rng.standard_normal(dimension))
+    if dimension == 1 or similarity >= 1:
+        return a, a
+    b = rng.standard_normal(dimension)
+    b = _unit(b - (b @ a) * a)
+    cosine = max(similarity, -1.0)
+    return a, cosine * a + math.sqrt(1 - cosine**2) * b
+
+
 def near_vectors(media_items: DataFrame, similarity: float = 0.93, codewords: int | None = None) -> DataFrame:
     """(media_item_id, n_links, component_id, kept), one row per row of ``media_items``.
 
@@ -69,9 +117,9 @@ def near_vectors(media_items: DataFrame, similarity: float = 0.93, codewords: in
     ``similarity``. ``n_links`` counts the other rows found linked directly, equal vectors
     among them; ``component_id`` is the smallest id that links reach, and an item is kept
     when that is its own. Reported links are exact; a pair at the threshold is found with a
-    probability of more than 0.9, nearer pairs almost always, equal vectors always.
+    probability of about 0.98 at every size, nearer pairs almost always, equal vectors always.
     ``codewords`` per block is chosen from the number of rows if not given: filters get
-    finer as rows get more, which keeps the groups small.
+    finer as rows get more, which keeps the groups small, and codes get more in return.
 
     Vectors that are NULL, empty, zero, or hold NULL or non-finite numbers, and items
     without album, link with nothing. Vectors of another length form groups of their own.
@@ -93,7 +141,7 @@ def near_vectors(media_items: DataFrame, similarity: float = 0.93, codewords: in
     )
     kind = items.schema["media_item_id"].dataType.simpleString()
     classes = checkpointed(classes.select("first_id", "key", "n", "album", "v").mapInArrow(
-        _coded(codewords), f"first_id {kind}, key bigint, n bigint, v binary, own array<bigint>"
+        _coded(codewords, similarity), f"first_id {kind}, key bigint, n bigint, v binary, own array<bigint>"
     ))
     links = checkpointed(_links(classes.select("key", F.col("n").alias("copies"), "v", "own"), similarity))
     weights = links.groupBy(F.col("b").alias("key")).agg(F.sum("weight").alias("weight"))
@@ -116,21 +164,18 @@ def near_vectors(media_items: DataFrame, similarity: float = 0.93, codewords: in
     return every.withColumn("kept", F.coalesce(F.col("media_item_id") == F.col("component_id"), F.lit(False)))
 
 
-def _coded(codewords: int):
+def _coded(codewords: int, similarity: float):
     """Adds to each vector the groups it belongs to: hashes of album, length, code and filter."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, list[CapFilters]] = {}
         for batch in batches:
             packed, groups = [], []
             for album, vector in zip(batch.column(3).to_pylist(), batch.column(4)):
                 v = vector.values.to_numpy()
                 size = len(v)
-                if size not in codes:
-                    codes[size] = [CapFilters(size, codewords, seed) for seed in range(_CODES)]
                 salt = int.from_bytes(hashlib.blake2b(f"{album}|{size}".encode(), digest_size=8).digest(), "little")
                 unit = _unit(v)
-                own = [mix(code.of(unit).astype(np.uint64) + np.uint64(c << 48) ^ np.uint64(salt)) for c, code in enumerate(codes[size])]
+                own = [mix(code.of(unit).astype(np.uint64) + np.uint64(c << 48) ^ np.uint64(salt)) for c, code in enumerate(cap_filters(size, codewords, similarity))]
                 packed.append(v.tobytes() if v.dtype == np.float32 else v.astype(np.float64).tobytes() + b"d")
                 groups.append(np.sort(np.concatenate(own).view(np.int64)))
             yield pa.RecordBatch.from_arrays(

@@ -1,6 +1,7 @@
 """Near vectors against all pairs of an album: none too many, nearly all found."""
 
 import numpy as np
+import pytest
 
 from mediacat.llm import near_vectors as near
 
@@ -37,3 +38,24 @@ def test_recall_and_precision(spark):
 def test_no_rows(spark):
     frame = spark.createDataFrame([], "media_item_id bigint, album_id int, embedding array<float>")
     assert near.near_vectors(frame).collect() == []
+
+
+@pytest.mark.parametrize("codewords", [8, 28, 50])
+def test_recall_at_every_size(codewords):
+    rng = np.random.default_rng(5)
+    codes = near.cap_filters(64, codewords, 0.93)
+    found = 0
+    for _ in range(200):
+        a, b = near._pair(rng, 64, 0.93)
+        assert abs(a @ b - 0.93) < 1e-9
+        found += any(np.intersect1d(c.of(a), c.of(b)).size for c in codes)
+    assert found >= 0.95 * 200
+
+
+def test_filters_of_any_dimension_and_similarity():
+    for dimension, similarity in [(1, 0.93), (2, 0.93), (5, 0.9), (64, 1.0), (64, 0.3), (16, 0.0), (3, -1.0)]:
+        rng = np.random.default_rng(6)
+        codes = near.cap_filters(dimension, 8, similarity)
+        pairs = [near._pair(rng, dimension, similarity) for _ in range(60)]
+        found = np.mean([any(np.intersect1d(c.of(a), c.of(b)).size for c in codes) for a, b in pairs])
+        assert found >= 0.9, (dimension, similarity, len(codes), found)
