@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mediacat.llm import (
     caption_language, caption_links, caption_quality, caption_toxicity, heldout_leaks,
     license_notices, link_rules, near_vectors,
-    packing, surrogates,
+    packing, surrogates, whitening,
 )
 from mediacat.llm.registry import QUERIES, captions, query, table  # noqa: F401
 
@@ -225,3 +225,10 @@ def op4_quality_classifier(spark, sf_dir):
     marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("media_item_id"), "quality")
     scored = caption_quality.score_quality(items, marks, ["album_id", "language", "size"])
     return scored.withColumnRenamed("media_item_id", "doc_id")
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("media_item_id"), "embedding")
+    found = whitening.whiten_embeddings(vectors, components=4, scale=256)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)")).withColumnRenamed("media_item_id", "vec_id")
