@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediacat.llm import (
-    caption_language, caption_links, caption_quality, caption_toxicity, heldout_leaks,
+    album_mixing, caption_language, caption_links, caption_quality, caption_toxicity, heldout_leaks,
     license_notices, link_rules, near_vectors,
     packing, surrogates, whitening,
 )
@@ -232,3 +232,18 @@ def op11_embedding_whitening(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("media_item_id"), "embedding")
     found = whitening.whiten_embeddings(vectors, components=4, scale=256)
     return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)")).withColumnRenamed("media_item_id", "vec_id")
+
+
+@query("op12_source_mix")
+def op12_source_mix(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    items = documents.select(
+        F.col("doc_id").alias("media_item_id"), F.col("text").alias("google_description"),
+        F.array("source").alias("album_ids"),
+    )
+    mix = album_mixing.mix_albums(items, share=1.5, weights=(3, 1, 2), most_copies=2)
+    sources = mix.albums.select(F.col("album_id").alias("source"), F.col("size").alias("source_size"), "target")
+    drawn = mix.items.withColumn("own", F.get("album_ids", F.lit(0)))
+    return drawn.join(F.broadcast(sources), F.col("own").eqNullSafe(F.col("source"))).select(
+        F.col("media_item_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "source"
+    )
