@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mediacat.llm import (
     album_mixing, caption_language, caption_links, caption_quality, caption_toxicity, heldout_leaks,
     license_notices, link_rules, near_vectors,
-    packing, surrogates, whitening,
+    packing, surrogates, thread_repair, whitening,
 )
 from mediacat.llm.registry import QUERIES, captions, query, table  # noqa: F401
 
@@ -247,3 +247,38 @@ def op12_source_mix(spark, sf_dir):
     return drawn.join(F.broadcast(sources), F.col("own").eqNullSafe(F.col("source"))).select(
         F.col("media_item_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "source"
     )
+
+
+def damaged(conversations):
+    """Turns with the faults of the contract; NULLs are one space."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"),
+        (F.crc32(key.cast("binary")) % 20).alias("damage"),
+    ).filter("damage <> 0")
+    text = F.when(F.col("damage") == 1, "").when(
+        F.col("damage") == 2, F.translate("text", ".!?", "")
+    ).otherwise(F.col("text"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("damage") == 3, 2).otherwise(1))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("damage") == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"), F.explode(times).alias("copy"),
+    ).drop("copy")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    repair = thread_repair.repair_threads(damaged(conversations))
+    found = repair.conversations.join(
+        thread_repair.thread_digests(repair.turns).withColumnRenamed("conv_id", "digest_of"),
+        F.col("conv_id").eqNullSafe(F.col("digest_of")),
+    ).withColumnRenamed("conv_id", "repaired_of")
+    every = conversations.select("conv_id").distinct()
+    number = lambda name: F.coalesce(F.col(name), F.lit(0).cast("bigint")).alias(name)
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("repaired_of")), "left").select(
+        "conv_id", *[number(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
