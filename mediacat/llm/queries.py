@@ -267,7 +267,83 @@ def damaged(conversations):
     ).drop("copy")
 
 
-@query("op13_conversation_repair")
+#: One row per conversation and state is carried along: the least (cost, audit) so far.
+OP13_SQL = r"""
+WITH RECURSIVE remainders AS (
+    SELECT list(r ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r FROM range(256) AS n(i))
+), keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS k
+    FROM conversations
+), hashed AS (
+    SELECT *, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(octet_length(k)),
+            lambda i: ('0x' || substr(hex(k), 2 * i + 1, 2))::BIGINT)),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 20 AS kind
+    FROM keyed, remainders
+), hurt AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM hashed WHERE kind <> 0
+), placed AS (
+    SELECT *, row_number() OVER w AS place,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+        lag(left(role, 1)) OVER w AS earlier, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ending
+    FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), marked AS (
+    SELECT conv_id, turn, role, text, place, left(role, 1) AS r,
+        CASE WHEN ending = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(ending, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+        earlier IS NOT NULL AND earlier || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal
+    FROM placed
+), counts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal
+    FROM marked GROUP BY conv_id
+), steps AS (
+    SELECT conv_id, 0::BIGINT AS place, s, CASE WHEN s = 'n' THEN 0 END::BIGINT AS cost, '' AS audit, ''::VARCHAR AS lines
+    FROM counts, (VALUES ('n')) AS states(s)
+    UNION ALL
+    SELECT conv_id, place, s, best.cost, best.audit, best.lines FROM (
+        SELECT m.conv_id, m.place, e.s, min({'cost': e.cost, 'audit': e.audit, 'lines': e.lines}) AS best
+        FROM steps p JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.place = p.place + 1,
+        LATERAL (SELECT * FROM (VALUES
+            (p.s, p.cost, p.audit, p.lines),
+            (CASE p.s WHEN 'u' THEN 'a' ELSE 'u' END, p.cost + 5, p.audit || 'I',
+                p.lines || CASE p.s WHEN 'u' THEN 'assistant:' ELSE 'user:' END || chr(10)),
+            (CASE WHEN p.s <> 'u' THEN 'a' END, p.cost + 10, p.audit || 'II',
+                p.lines || 'user:' || chr(10) || 'assistant:' || chr(10))) AS i(s, cost, audit, lines)) AS i,
+        LATERAL (SELECT * FROM (VALUES
+            (i.s, i.cost + 2, i.audit || 'D', i.lines),
+            (CASE WHEN m.fault IN ('-', 't') AND (i.s || m.r) IN ('ns', 'nu', 'su', 'au', 'ua') THEN m.r END,
+                i.cost + CASE m.fault WHEN 't' THEN 5 ELSE 0 END, i.audit || 'K', i.lines || m.role || ':' || m.text || chr(10)),
+            (CASE WHEN m.fault IN ('-', 't') THEN CASE i.s WHEN 'u' THEN 'a' ELSE 'u' END END,
+                i.cost + CASE m.fault WHEN 't' THEN 6 ELSE 1 END, i.audit || 'R',
+                i.lines || CASE i.s WHEN 'u' THEN 'assistant:' ELSE 'user:' END || m.text || chr(10))) AS e(s, cost, audit, lines)) AS e
+        WHERE i.s IS NOT NULL AND e.s IS NOT NULL
+        GROUP BY m.conv_id, m.place, e.s
+    )
+), ends AS (
+    SELECT c.conv_id, min(CASE s
+        WHEN 'u' THEN {'cost': cost + 5, 'audit': audit || 'I', 'lines': lines || 'assistant:' || chr(10)}
+        WHEN 's' THEN {'cost': cost + 10, 'audit': audit || 'II', 'lines': lines || 'user:' || chr(10) || 'assistant:' || chr(10)}
+        ELSE {'cost': cost, 'audit': audit, 'lines': lines} END) AS best
+    FROM counts c JOIN steps p ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND p.place = c.n
+    GROUP BY c.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+    coalesce(best.audit, '') AS audit,
+    sha256(CASE WHEN coalesce(best.lines, '') = '' THEN '' ELSE best.lines[:-2] END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op13_conversation_repair", OP13_SQL)
 def op13_conversation_repair(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations")
     repair = thread_repair.repair_threads(damaged(conversations))
