@@ -2,7 +2,8 @@
 
 Phases 1 to 3 look up an exact key, so a media file carries up to three probes and
 one join answers all of them; the lowest phase that hits wins. Phase 4 compares
-prefixes among what is left and hands out each sidecar once, in path order.
+prefixes among what is left and hands out each sidecar once, in path order
+(``contention``). Nothing runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -11,10 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mediacat import fixed
 from mediacat.functions import names
-from mediacat.session import checkpointed
+from mediacat.operators import contention
 
 _KEY = ["album", "key", "number"]
-_GROUP = ["album", "number", "ext"]
 
 
 def _text(column: Column) -> Column:
@@ -157,147 +157,23 @@ def _prefix_sidecars(sidecars: DataFrame) -> DataFrame:
     )
 
 
-def _prefix_pairs(long: DataFrame, short: DataFrame, strict: bool) -> DataFrame:
-    """(long, short) paths where the short base begins the long one, by equi-joins.
+def _by_prefix(media: DataFrame, sidecars: DataFrame, *every: DataFrame) -> DataFrame:
+    """(path, album, sidecar_path) of all ``media``, as phase 4 decides.
 
-    A row is cut only at the lengths that occur in its group, so a name is not blown up
-    into all of its prefixes. There are at most as many lengths as a name has characters.
+    ``every`` holds all media and sidecars of the catalog, of which these are left.
     """
-    lengths = short.groupBy(*_GROUP).agg(F.collect_set(F.length("base")).alias("lengths"))
-    size = F.length("base")
-    reach = (lambda n: n < size) if strict else (lambda n: n <= size)
-    cut = (
-        long.join(lengths, _GROUP)
-        .select(
-            F.col("path").alias("long"),
-            *_GROUP,
-            "base",
-            F.explode(F.filter("lengths", reach)).alias("n"),
-        )
-        .withColumn("base", F.substring("base", F.lit(1), F.col("n")))
-        .drop("n")
-    )
-    return cut.join(short.withColumnRenamed("path", "short"), [*_GROUP, "base"]).select(
-        "long", "short"
-    )
+    names = _prefix_media(every[0]).unionByName(_prefix_sidecars(every[1])) if every else None
+    return contention.assign_in_order(_prefix_media(media), _prefix_sidecars(sidecars), names)
 
 
-def prefix_edges(media: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """(media, sidecar, kind) candidates of phase 4.
-
-    Kind 1: the sidecar's name begins the media name or equals it. Kind 2: the media
-    name begins a longer sidecar name. Number and extension must agree.
-    """
-    m, s = _prefix_media(media), checkpointed(_prefix_sidecars(sidecars))
-    shorter = _prefix_pairs(m, s, strict=False).select(
-        F.col("long").alias("media"), F.col("short").alias("sidecar"), F.lit(1).alias("kind")
-    )
-    longer = _prefix_pairs(s, m, strict=True).select(
-        F.col("short").alias("media"), F.col("long").alias("sidecar"), F.lit(2).alias("kind")
-    )
-    return shorter.unionByName(longer)
-
-
-def _takers(edges: DataFrame) -> DataFrame:
-    """(media, take): the sidecar each media would take now, NULL when none or several."""
-    def only(kind: int) -> Column:
-        return F.min(F.when(F.col("kind") == kind, F.col("sidecar")))
-
-    n1, n2 = F.col("n1"), F.col("n2")
-    take = F.when(n1 == 1, F.col("s1")).when((n1 == 0) & (n2 == 1), F.col("s2"))
-    return (
-        edges.groupBy("media")
-        .agg(
-            F.count_if(F.col("kind") == 1).alias("n1"),
-            F.count_if(F.col("kind") == 2).alias("n2"),
-            only(1).alias("s1"),
-            only(2).alias("s2"),
-        )
-        .select("media", take.alias("take"))
-    )
-
-
-def _first_takers(takers: DataFrame) -> DataFrame:
-    """(sidecar, at): the first media in path order that would take each sidecar now."""
-    return (
-        takers.filter(F.col("take").isNotNull())
-        .groupBy(F.col("take").alias("sidecar"))
-        .agg(F.min("media").alias("at"))
-    )
-
-
-def _shaken(edges: DataFrame, losses: DataFrame) -> DataFrame:
-    """Media with several candidates that may lose one of them before their turn."""
-    return (
-        edges.join(losses, "sidecar", "left")
-        .groupBy("media")
-        .agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter((F.col("first") < F.col("media")) & (F.col("n") > 1))
-        .select("media")
-    )
-
-
-def _earliest_losses(edges: DataFrame, losses: DataFrame) -> DataFrame:
-    """(sidecar, at): a path before which nobody can take the sidecar.
-
-    Starts from the first takers and spreads: a shaken media may take any other of its
-    candidates at its turn. Repeats until nothing changes.
-    """
-    while True:
-        spread = checkpointed(
-            edges.join(_shaken(edges, losses), "media", "left_semi")
-            .join(losses, "sidecar", "left")
-            .filter(F.col("at").isNull() | (F.col("media") < F.col("at")))
-            .groupBy("sidecar")
-            .agg(F.min("media").alias("at"))
-        )
-        if spread.isEmpty():
-            return losses
-        losses = checkpointed(
-            losses.unionByName(spread).groupBy("sidecar").agg(F.min("at").alias("at"))
-        )
-
-
-def assign_in_order(edges: DataFrame) -> DataFrame:
-    """(media, sidecar): the outcome of media taking sidecars one by one in path order.
+def match_phase4(media: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """(path, sidecar_path, phase) among media and sidecars that no exact phase linked.
 
-    At its turn a media takes its only free kind-1 candidate; with no free kind-1 it takes
-    its only free kind-2 candidate; otherwise it takes nothing. Where no media with several
-    candidates can lose one before its turn, which is the normal case, each sidecar simply
-    goes to its first taker. Otherwise rounds follow: each decides every media whose
-    candidates cannot change before its turn, and the rest go to the next round.
+    The sidecar's name begins the media name or equals it, or else the media name begins a
+    longer sidecar name. Number and extension must agree.
     """
-    edges = checkpointed(edges)
-    matched = None
-    while True:
-        takers = _takers(edges)
-        losses = _first_takers(takers)
-        firsts = losses.select(F.col("at").alias("media"), "sidecar")
-        if _shaken(edges, losses).isEmpty():
-            return firsts if matched is None else matched.unionByName(firsts)
-
-        losses = _earliest_losses(edges, checkpointed(losses))
-        settled = (
-            edges.join(losses, "sidecar", "left")
-            .groupBy("media")
-            .agg(F.min("at").alias("first"))
-            .filter(F.col("first").isNull() | (F.col("first") >= F.col("media")))
-            .select("media")
-        )
-        decided = checkpointed(takers.join(settled, "media", "left_semi"))
-        won = decided.filter(F.col("take").isNotNull()).withColumnRenamed("take", "sidecar")
-        matched = won if matched is None else matched.unionByName(won)
-        edges = checkpointed(
-            edges.join(decided, "media", "left_anti").join(won, "sidecar", "left_anti")
-        )
-
-
-def match_phase4(media: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """(path, sidecar_path, phase) among media and sidecars that no exact phase linked."""
-    return assign_in_order(prefix_edges(media, sidecars)).select(
-        F.col("media").alias("path"),
-        F.col("sidecar").alias("sidecar_path"),
-        F.lit(4).alias("phase"),
+    return _by_prefix(media, sidecars).filter("sidecar_path IS NOT NULL").select(
+        "path", "sidecar_path", F.lit(4).alias("phase")
     )
 
 
@@ -311,15 +187,14 @@ def link_sidecars(
     ``media`` has path, album and name; ``sidecars`` is the output of
     ``parse_sidecar_names``.
     """
-    exact = checkpointed(match_exact(media, sidecars, edit_marks))
+    exact = match_exact(media, sidecars, edit_marks)
     matched, rest = exact.filter("phase IS NOT NULL"), exact.filter("phase IS NULL")
     free = sidecars.join(
         matched.select(F.col("sidecar_path").alias("path")), "path", "left_anti"
     )
-    by_prefix = match_phase4(rest, free)
-    found = rest.select("path", "album").join(by_prefix, "path", "left")
-    columns = ["path", "album", "sidecar_path", "phase"]
-    return matched.select(*columns).unionByName(found.select(*columns))
+    phase = F.when(F.col("sidecar_path").isNotNull(), 4).alias("phase")
+    columns = ["path", "album", "sidecar_path"]
+    return matched.select(*columns, "phase").unionByName(_by_prefix(rest, free, media, sidecars).select(*columns, phase))
 
 
 def orphan_media(links: DataFrame) -> DataFrame:

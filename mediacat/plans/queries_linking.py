@@ -155,6 +155,50 @@ def link_phase4(spark, sf_dir):
     return _links(spark, sf_dir).filter("phase = 4").select("path", "sidecar_path", "phase")
 
 
+#: Chains: media and sidecars whose names begin with one another, of which some lack.
+_CHAINS = """chain AS (
+  SELECT 'Album ' || doc_id % 10 AS album, doc_id % 5 <> 2 AS has_sidecar,
+    'CHAIN_' || lpad((doc_id // 160)::VARCHAR, 6, '0') || '_' || repeat('a', (doc_id // 10 % 16)::INT)
+      || CASE WHEN doc_id // 10 % 3 = 1 THEN 'b' ELSE '' END AS base,
+    'CHAIN_' || lpad((doc_id // 160)::VARCHAR, 6, '0') AS tree FROM documents
+), chain_media AS (
+  SELECT album, tree, base, album || '/' || base || '.nef' AS path,
+    row_number() OVER (PARTITION BY album, tree ORDER BY album || '/' || base || '.nef') AS turn FROM chain
+), chain_sidecars AS (
+  SELECT album, tree, base, album || '/' || base || '.nef.json' AS path FROM chain WHERE has_sidecar
+), options AS (
+  SELECT m.album, m.tree, m.turn, m.path,
+    coalesce(list(s.path) FILTER (starts_with(m.base, s.base)), []) AS begins,
+    coalesce(list(s.path) FILTER (starts_with(s.base, m.base) AND s.base <> m.base), []) AS longer
+  FROM chain_media m LEFT JOIN chain_sidecars s ON m.album = s.album AND m.tree = s.tree GROUP BY ALL
+), turns AS (
+  SELECT DISTINCT album, tree, 0::BIGINT AS turn, NULL::VARCHAR AS path, NULL::VARCHAR AS pick, []::VARCHAR[] AS taken FROM chain
+  UNION ALL
+  SELECT album, tree, turn, path, pick, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END FROM (
+    SELECT o.album, o.tree, o.turn, o.path, taken,
+      CASE len(free) WHEN 1 THEN free[1] WHEN 0 THEN CASE WHEN len(rest) = 1 THEN rest[1] END END AS pick
+    FROM (SELECT o.*, t.taken, list_filter(o.begins, lambda x: NOT list_contains(t.taken, x)) AS free,
+        list_filter(o.longer, lambda x: NOT list_contains(t.taken, x)) AS rest
+      FROM turns t JOIN options o ON t.album = o.album AND t.tree = o.tree AND o.turn = t.turn + 1) o))"""
+
+
+@query("link_contested", f"""WITH RECURSIVE {_CHAINS}
+    SELECT path, album, pick AS sidecar_path, CASE WHEN pick IS NOT NULL THEN 4 END AS phase FROM turns WHERE turn > 0""")
+def link_contested(spark, sf_dir):
+    doc, step = F.col("doc_id"), F.floor(F.col("doc_id") / 10)
+    base = F.concat(
+        F.lit("CHAIN_"), F.lpad(F.floor(doc / 160).cast("string"), 6, "0"), F.lit("_"),
+        F.repeat(F.lit("a"), (step % 16).cast("int")), F.when(step % 3 == 1, "b").otherwise(""),
+    )
+    rows = a.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("Album "), (doc % 10).cast("string")).alias("album"), F.concat(base, F.lit(".nef")).alias("name")
+    )
+    path = F.concat("album", F.lit("/"), "name").alias("path")
+    side = rows.filter(doc % 5 != 2).select("album", F.concat("name", F.lit(".json")).alias("name"))
+    media = rows.select(path, "album", "name")
+    return linking.link_sidecars(media, file_ops.parse_sidecar_names(side.select(path, "album", "name")))
+
+
 @query("link_sidecars", o.with_tables(
     *_LINK_TABLES, select="SELECT path, album, sidecar_path, phase FROM links"))
 def link_sidecars(spark, sf_dir):

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from mediacat.operators import files as file_ops, linking
+from mediacat.operators import contention, files as file_ops, linking
 
 FULL = ".supplemental-metadata"
 
@@ -94,26 +94,73 @@ def _one_by_one(edges):
     return taken
 
 
+def _assigned(spark, media, sidecars):
+    """contention.assign_in_order over (album, number, ext, base, path) tuples."""
+    schema = "album string, number string, ext string, base string, path string"
+    frames = [spark.createDataFrame(rows, schema).repartition(3) for rows in (media, sidecars)]
+    rows = contention.assign_in_order(*frames).collect()
+    assert sorted((r.album, r.path) for r in rows) == sorted((m[0], m[4]) for m in media)
+    return {r.path: r.sidecar_path for r in rows if r.sidecar_path}
+
+
+def _edges(media, sidecars):
+    for *group, name, path in media:
+        for *other, base, sidecar in sidecars:
+            if group == other and name.startswith(base):
+                yield path, sidecar, 1
+            elif group == other and base.startswith(name):
+                yield path, sidecar, 2
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_assignment_in_order(spark, seed):
     rng = random.Random(seed)
-    media = [f"m{i:02d}" for i in range(rng.randint(3, 14))]
-    sidecars = [f"s{i:02d}" for i in range(rng.randint(2, 9))]
-    pairs = {(m, s) for m in media for s in sidecars if rng.random() < rng.choice([0.1, 0.25, 0.5])}
-    edges = sorted((m, s, rng.choice([1, 1, 2])) for m, s in pairs) or [("m", "s", 1)]
-    df = spark.createDataFrame(edges, "media string, sidecar string, kind int")
-    got = {r.media: r.sidecar for r in linking.assign_in_order(df).collect()}
-    assert got == _one_by_one(edges)
-
 
-def test_assignment_spreads_along_a_chain(spark):
-    # m0 takes s0, which frees m1 to take s1, and so on.
-    edges = [("m0", "s0", 1)]
-    for i in range(1, 6):
-        edges += [(f"m{i}", f"s{i - 1}", 1), (f"m{i}", f"s{i}", 1)]
-    df = spark.createDataFrame(edges, "media string, sidecar string, kind int")
-    got = {r.media: r.sidecar for r in linking.assign_in_order(df).collect()}
-    assert got == {f"m{i}": f"s{i}" for i in range(6)} == _one_by_one(edges)
+    def some(count, letter):
+        return [
+            (rng.choice("AB"), rng.choice(["", "(1)"]), rng.choice(["", ".jpg"]),
+             "".join(rng.choice("ab\U0001f600") for _ in range(rng.randint(0, 5))), f"{letter}{rng.random()}")
+            for _ in range(count)
+        ]
+
+    media, sidecars = some(150, "m"), some(110, "s")
+    assert _assigned(spark, media, sidecars) == _one_by_one(list(_edges(media, sidecars)))
+
+
+@pytest.mark.parametrize("length", [8, 64, 256])
+def test_assignment_spreads_along_a_chain(spark, length):
+    # The first media takes the shortest name, which leaves the second one candidate, and so on.
+    media = [("A", "", "", "a" * i, f"m{i:03d}") for i in range(1, length)]
+    sidecars = [("A", "", "", "a" * i, f"s{i:03d}") for i in range(1, length)]
+    group = f"chain of {length}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = _assigned(spark, media, sidecars)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == {f"m{i:03d}": f"s{i:03d}" for i in range(1, length)}
+    assert jobs <= 12
+    backwards = [(*m[:4], f"m{length - len(m[3]):03d}") for m in media]
+    assert _assigned(spark, backwards, sidecars) == _one_by_one(list(_edges(backwards, sidecars)))
+
+
+def test_linking_runs_no_job_before_it_is_asked_for(spark):
+    spark.sparkContext.setJobGroup("built", "built")
+    try:
+        media, parsed = _files(spark, [("A", "a.nef")]), file_ops.parse_sidecar_names(_files(spark, [("A", "a.nef.json")]))
+        linking.link_sidecars(media, parsed)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("built")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_large_album_is_split_but_no_tree_is(spark):
+    bases = [f"IMG_{i:04d}{tail}" for i in range(200) for tail in ("", "~2", "~2x")]
+    rows = [("A", "", "", base, base) for base in bases]
+    names = spark.createDataFrame(rows, "album string, number string, ext string, base string, path string")
+    got = contention._with_beginnings(names, names).collect()
+    assert len({r.beginning for r in got}) == 200 and all(r.beginning == r.base[:8] for r in got)
 
 
 def test_crowded_sidecar(spark):
@@ -179,7 +226,7 @@ def _plan(df):
 def test_plans_have_only_equi_joins(spark):
     media = _files(spark, [("A", "a.jpg")])
     parsed = file_ops.parse_sidecar_names(_files(spark, [("A", "a.jpg.json")]))
-    frames = [linking.match_exact(media, parsed), linking.prefix_edges(media, parsed)]
+    frames = [linking.match_exact(media, parsed), linking.match_phase4(media, parsed), linking.link_sidecars(media, parsed)]
     frames += [f(media, parsed) for f in (linking.match_phase1, linking.match_phase2, linking.match_phase3)]
     for df in frames:
         plan = _plan(df)
