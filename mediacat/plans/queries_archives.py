@@ -11,6 +11,7 @@ from mediacat.plans import adapters as a, oracle_tables as o
 from mediacat.plans.adapters import NEW_SEEN, NEW_START, RUN_NEW
 from mediacat.plans.registry import query
 from mediacat.session import shared_folder
+from mediacat.sources.catalog_store import CatalogStore
 from mediacat.streaming import ingest
 
 # Target of a member, part by part: characters replaced, tails cut, reserved names marked.
@@ -84,13 +85,14 @@ def ingested_catalog(spark, sf_dir):
     """The rescan rows land as manifests, a stream takes them in, the catalog is read back."""
     folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4()}"
     snapshot = a.catalog(spark, sf_dir)
+    store = CatalogStore.create(spark, f"{folder}/catalog", snapshot.schema, buckets=16)
+    store.upsert(snapshot)
     a.rescan(spark, sf_dir).write.parquet(f"{folder}/landing")
     ingest.ingest_stream(
-        spark, f"{folder}/landing", snapshot, f"{folder}/changes", f"{folder}/checkpoint",
+        spark, f"{folder}/landing", store, f"{folder}/changes", f"{folder}/checkpoint",
         RUN_NEW, a.at(NEW_START), a.at(NEW_SEEN),
     ).awaitTermination()
-    changes = ingest.read_changes(spark, f"{folder}/changes", snapshot.schema)
-    return ingest.current_catalog(snapshot, changes).select(
+    return store.read().select(
         "relative_path", "file_size",
         F.unix_seconds("first_seen_timestamp").alias("first_seen"),
         F.unix_seconds("last_seen_timestamp").alias("last_seen"),

@@ -1,9 +1,8 @@
 """Continuous ingest: arriving manifests become changes of the catalog.
 
-Manifests are Parquet files of scan rows that land in a folder. Each micro-batch is
-compared with the current catalog and its outcome is written under its own batch
-folder, so a replayed batch overwrites itself and the result is the same. The stored
-snapshot is not rewritten by a batch; ``current_catalog`` lays the batches over it.
+Manifests are Parquet files of scan rows that land in a folder. Each micro-batch reads and
+writes only the buckets of the catalog store in which its paths lie. The store remembers the
+last batch along with the version that holds it, so a replayed batch changes nothing.
 """
 
 from __future__ import annotations
@@ -13,44 +12,43 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from mediacat.operators import rescan
+from mediacat.sources.catalog_store import CatalogStore
 
-_BATCH = "batch_id"
+_BATCH, _ORDER = "batch_id", "_order"
 
 
-def _written(schema: StructType) -> list[StructField]:
-    """Columns of the change log."""
-    return [*schema.fields, StructField("change_type", StringType())]
-
-
-def read_changes(
-    spark: SparkSession, location: str, schema: StructType, before: int | None = None
-) -> DataFrame:
-    """Rows written by batches (all, or those before one), with their batch number."""
-    fields = StructType([*_written(schema), StructField(_BATCH, LongType())])
-    rows = spark.read.schema(fields).parquet(location)
-    return rows if before is None else rows.filter(F.col(_BATCH) < before)
+def take_in(
+    store: CatalogStore, batch: DataFrame, batch_id: int, changes_location: str,
+    scan_run_id: str, started: Column, now: Column, name: str = "ingest",
+) -> bool:
+    """Take one batch of scan rows into the store; False if it had been taken in before.
 
+    Of a path that comes several times in a batch the last row counts if the path is in the
+    catalog already, else the first (by time last seen, then by id). What became of each
+    path is written below ``changes_location``.
+    """
+    if store.mark(name) >= batch_id:
+        return False
+    stored = store.read(buckets=store.buckets_of(batch))
+    ordered = batch.withColumn(_ORDER, F.struct("last_seen_timestamp", "media_item_id"))
+    scan = rescan.one_row_per_path(ordered, stored, _ORDER, started).drop(_ORDER)
+    outcome = rescan.apply_changes(scan, stored.select(*scan.columns), scan_run_id, started, now)
+    met = outcome.filter(F.col("change_type") != rescan.ABSENT)
+    met.select("relative_path", "change_type").write.mode("overwrite").parquet(f"{changes_location}/{_BATCH}={batch_id}")
+    store.upsert(met.filter(F.col("change_type") != rescan.KEPT).drop("change_type"), mark=(name, batch_id))
+    return True
 
-def current_catalog(
-    snapshot: DataFrame, changes: DataFrame, only: DataFrame | None = None
-) -> DataFrame:
-    """The snapshot with each path's latest change laid over it.
 
-    ``only`` limits the work to the paths it lists.
-    """
-    row = F.struct(*snapshot.columns)
-    layered = snapshot.select("*", F.lit(-1).cast("bigint").alias(_BATCH)).unionByName(
-        changes.select(*snapshot.columns, _BATCH)
-    )
-    if only is not None:
-        layered = layered.join(only.select("relative_path"), "relative_path", "left_semi")
-    return layered.groupBy("relative_path").agg(F.max_by(row, _BATCH).alias("row")).select("row.*")
+def read_changes(spark: SparkSession, changes_location: str) -> DataFrame:
+    """(relative_path, change_type, batch_id) of all batches."""
+    fields = [StructField("relative_path", StringType()), StructField("change_type", StringType())]
+    return spark.read.schema(StructType([*fields, StructField(_BATCH, LongType())])).parquet(changes_location)
 
 
 def ingest_stream(
     spark: SparkSession,
     landing: str,
-    snapshot: DataFrame,
+    store: CatalogStore,
     changes_location: str,
     checkpoint_location: str,
     scan_run_id: str,
@@ -59,30 +57,15 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Process the manifests that have arrived and stop; run again to go on from there.
 
-    The checkpoint remembers finished files. Within a batch a path counts once, the row
-    seen last.
+    The checkpoint remembers finished files, the store finished batches.
     """
-    schema = snapshot.schema
-    spark.createDataFrame([], StructType(_written(schema))).write.mode(
-        "append"
-    ).parquet(f"{changes_location}/{_BATCH}=-1")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        row = F.struct(*batch.columns)
-        scan = (
-            batch.groupBy("relative_path")
-            .agg(F.max_by(row, F.struct("last_seen_timestamp", "media_item_id")).alias("row"))
-            .select("row.*")
-        )
-        earlier = read_changes(batch.sparkSession, changes_location, schema, batch_id)
-        stored = current_catalog(snapshot, earlier, scan)
-        outcome = rescan.apply_changes(
-            scan, stored.select(*scan.columns), scan_run_id, started, now
-        )
-        outcome.write.mode("overwrite").parquet(f"{changes_location}/{_BATCH}={batch_id}")
+        own = CatalogStore(batch.sparkSession, store.location)
+        take_in(own, batch, batch_id, changes_location, scan_run_id, started, now)
 
     return (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(store.read().schema)
         .parquet(landing)
         .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint_location)

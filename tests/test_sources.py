@@ -10,7 +10,7 @@ from mediacat.operators import archives, reports
 from mediacat.plans import jobs
 from mediacat.schemas import EXIF_DUMP, MEDIA_ITEMS, PROBE_DUMP
 from mediacat.sources import archives as archive_source, content, inventory, sinks
-from mediacat.streaming import ingest
+
 
 JPEG = bytes.fromhex("FFD8FFE000104A464946")
 
@@ -203,22 +203,3 @@ def _row(spark, path, fingerprint, seen):
     df = spark.createDataFrame([tuple(values[n] for n in names)], empty)
     stamp = F.timestamp_seconds(F.lit(seen))
     return df.withColumns({"first_seen_timestamp": stamp, "last_seen_timestamp": stamp})
-
-
-def test_ingest_stream(spark, tmp_path):
-    snapshot = _row(spark, "kept", "x", 10).unionByName(_row(spark, "edited", "x", 10))
-    landing, log, state = (str(tmp_path / d) for d in ("landing", "changes", "state"))
-
-    def run():
-        ingest.ingest_stream(spark, landing, snapshot, log, state, "new",
-                             F.timestamp_seconds(F.lit(100)), F.timestamp_seconds(F.lit(200))).awaitTermination()
-        changes = ingest.read_changes(spark, log, snapshot.schema)
-        rows = ingest.current_catalog(snapshot, changes).collect()
-        return {r.relative_path: (r.content_fingerprint, int(r.last_seen_timestamp.timestamp())) for r in rows}
-
-    _row(spark, "edited", "y", 150).unionByName(_row(spark, "fresh", "x", 150)).write.parquet(landing)
-    first = {"kept": ("x", 10), "edited": ("y", 200), "fresh": ("x", 200)}
-    assert run() == first
-    assert run() == first  # nothing new has landed
-    _row(spark, "kept", "x", 160).write.mode("append").parquet(landing)
-    assert run() == first | {"kept": ("x", 200)}
