@@ -24,6 +24,11 @@ def sidecar_fingerprint(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def strict_text(content: Column) -> Column:
+    """Bytes as UTF-8 text without a byte order mark; NULL where they are not UTF-8."""
+    return F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^\ufeff", "")
+
+
 def sniff_mime(content: Column) -> Column:
     """MIME type told from the first bytes; the document type of a container may stand
     anywhere in its header."""

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediacat import fixed
-from mediacat.functions import ids, names, sidecar_json
+from mediacat.functions import content, ids, names, sidecar_json
 
 
 def parse_album_json(raw: DataFrame) -> DataFrame:
     """(path, parsed, title, description, access_level, creation_timestamp) of album files.
 
-    ``raw`` has path and raw text. Text that is not JSON gives parsed = false and NULLs.
+    ``raw`` has path and raw, bytes or text. What is not JSON in UTF-8 gives parsed = false
+    and NULLs.
     """
     v = F.col("v")
     stamp = sidecar_json.field(v, "date.timestamp").try_cast("bigint")
     inside = stamp.between(fixed.EPOCH_SECONDS_MIN, fixed.EPOCH_SECONDS_MAX)
-    return raw.select("path", F.try_parse_json("raw").alias("v")).select(
+    return raw.select("path", F.try_parse_json(content.strict_text(F.col("raw").cast("binary"))).alias("v")).select(
         "path",
         v.isNotNull().alias("parsed"),
         sidecar_json.field(v, "title").alias("title"),

@@ -23,14 +23,15 @@ def hash_content(files: DataFrame) -> DataFrame:
 def parse_sidecars(raw: DataFrame) -> DataFrame:
     """Typed columns of sidecar JSON, one row per file.
 
-    ``raw`` has path and raw text. Text that is not JSON keeps its row with
-    parsed = false; ``sidecar_errors`` turns those rows into error records.
+    ``raw`` has path and raw, the bytes of the file or a text. The fingerprint is that of
+    the bytes. What is not JSON in UTF-8 keeps its row with parsed = false;
+    ``sidecar_errors`` turns those rows into error records.
     """
-    v = F.col("v")
+    v, data = F.col("v"), F.col("raw").cast("binary")
     return raw.select(
         "path",
-        F.try_parse_json("raw").alias("v"),
-        content.sidecar_fingerprint(F.encode("raw", "UTF-8")).alias("sidecar_fingerprint"),
+        F.try_parse_json(content.strict_text(data)).alias("v"),
+        content.sidecar_fingerprint(data).alias("sidecar_fingerprint"),
     ).select(
         "path",
         v.isNotNull().alias("parsed"),

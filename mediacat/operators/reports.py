@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mediacat import fixed
 from mediacat.functions import names
+from mediacat.operators import runs
 
 def _count() -> Column:
     return F.count(F.lit(1)).alias("count")
@@ -294,16 +295,40 @@ def consistency_checks(latest: DataFrame, items: DataFrame, albums: DataFrame) -
 
 # --- catalog and logs ---------------------------------------------------------------------
 
-def catalog_stats(items: DataFrame, albums: DataFrame, errors: DataFrame) -> DataFrame:
-    """(section, key, count): media by MIME type, albums by folder, errors by category."""
+#: Counters of a run that the catalog's statistics show.
+_RUN_COUNTERS = [
+    "total_files_discovered", "media_files_discovered", "metadata_files_discovered",
+    "media_files_with_metadata", "media_files_processed", "metadata_files_processed",
+    "media_new_files", "media_unchanged_files", "media_changed_files", "missing_files",
+    "media_error_files", "inconsistent_files", "albums_total",
+]
+
+
+def catalog_stats(
+    items: DataFrame, albums: DataFrame, errors: DataFrame, run_table: DataFrame | None = None
+) -> DataFrame:
+    """(section, key, count): media by MIME type, albums by folder, errors by category.
+
+    With ``run_table`` also the totals of media, albums and errors and the counters of the
+    run that started last; no runs, no counters.
+    """
     def section(df: DataFrame, label: str, key: Column) -> DataFrame:
         return df.groupBy(F.lit(label).alias("section"), key.alias("key")).agg(_count())
 
-    return (
+    found = (
         section(items, "mime_type", F.coalesce("mime_type", F.lit("unknown")))
         .unionByName(section(albums, "album", F.col("album_folder_path")))
         .unionByName(section(errors, "error_category", F.col("error_category")))
     )
+    if run_table is None:
+        return found
+    for name, table in [("media_items", items), ("albums", albums), ("processing_errors", errors)]:
+        found = found.unionByName(table.agg(_count()).select(F.lit("total").alias("section"), F.lit(name).alias("key"), "count"))
+    counters = F.array(*[
+        F.struct(F.lit("latest_run").alias("section"), F.lit(c).alias("key"), F.col(c).cast("bigint").alias("count"))
+        for c in _RUN_COUNTERS if c in run_table.columns
+    ])
+    return found.unionByName(runs.latest_run(run_table).select(F.inline(counters)))
 
 
 def fs_vs_catalog(files: DataFrame, items: DataFrame) -> DataFrame:

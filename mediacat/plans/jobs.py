@@ -153,7 +153,7 @@ def scan_report(
         reports.counter_audit(run_table, items, album_table, scan_run_id),
         reports.consistency_checks(run, items, album_table),
         reports.validation_summary(items),
-        reports.catalog_stats(items, album_table, error_table),
+        reports.catalog_stats(items, album_table, error_table, run_table),
     )
 
 

@@ -218,17 +218,29 @@ def tree_stats(spark, sf_dir):
 
 
 @query("catalog_stats", o.with_tables(
-    o.ALBUMS, o.ERRORS, select="""SELECT 'mime_type' AS section,
+    o.ALBUMS, o.ERRORS, o.RUNS, """latest AS (SELECT * FROM runs ORDER BY started DESC, scan_run_id DESC LIMIT 1)""",
+    select="""SELECT 'mime_type' AS section,
         CASE doc_id % 3 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'video/mp4' ELSE 'unknown' END AS key, count(*) AS count
       FROM documents GROUP BY ALL
       UNION ALL SELECT 'album', album_folder_path, count(*) FROM stored GROUP BY ALL
-      UNION ALL SELECT 'error_category', error_category, count(*) FROM errors GROUP BY ALL"""))
+      UNION ALL SELECT 'error_category', error_category, count(*) FROM errors GROUP BY ALL
+      UNION ALL SELECT 'total', 'media_items', count(*) FROM documents
+      UNION ALL SELECT 'total', 'albums', count(*) FROM stored
+      UNION ALL SELECT 'total', 'processing_errors', count(*) FROM errors
+      UNION ALL SELECT 'latest_run', unnest(['total_files_discovered', 'media_files_discovered', 'metadata_files_discovered',
+          'media_files_with_metadata', 'media_files_processed', 'metadata_files_processed', 'media_new_files',
+          'media_unchanged_files', 'media_changed_files', 'missing_files', 'media_error_files', 'inconsistent_files', 'albums_total']),
+        unnest([seen * 2 + CASE WHEN key % 7 = 0 THEN 1 ELSE 0 END, seen, seen, seen - key % 3, media_files_processed,
+          seen - CASE WHEN key % 9 = 0 THEN 1 ELSE 0 END, key % 50, key % 40, key % 30, key % 5, key % 6, key % 2, 10])
+        FROM latest"""))
 def catalog_stats(spark, sf_dir):
     kind = F.col("doc_id") % 3
     items = a.table(spark, sf_dir, "documents").select(
         F.when(kind == 0, "image/jpeg").when(kind == 1, "video/mp4").alias("mime_type")
     )
-    return reports.catalog_stats(items, a.stored_albums(spark, sf_dir), a.errors(spark, sf_dir))
+    return reports.catalog_stats(
+        items, a.stored_albums(spark, sf_dir), a.errors(spark, sf_dir), a.runs(spark, sf_dir)
+    )
 
 
 @query("files_not_in_catalog", o.with_tables(
