@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from mediacat.functions import names
@@ -33,6 +33,21 @@ def member_targets(manifest: DataFrame) -> DataFrame:
     )
 
 
+def _checksum(files: DataFrame) -> Column:
+    """crc32 as a number, whether it is one or hexadecimal text."""
+    crc = F.col("crc32")
+    return F.conv(crc, 16, 10).cast("bigint") if files.schema["crc32"].dataType == StringType() else crc
+
+
+def _one_per_target(files: DataFrame, *values: Column) -> DataFrame:
+    """(archive, target, file): of files whose names have one normal form the first by path."""
+    target = names.normalize_path(F.col("path")).alias("target")
+    return (
+        files.select("archive", target, F.struct("path", *values).alias("file"))
+        .groupBy("archive", "target").agg(F.min("file").alias("file"))
+    )
+
+
 def verify_archives(manifest: DataFrame, extracted: DataFrame) -> DataFrame:
     """(archive, member, status) of every member.
 
@@ -45,19 +60,9 @@ def verify_archives(manifest: DataFrame, extracted: DataFrame) -> DataFrame:
     files whose names have one normal form the first by path counts.
     """
     wanted = member_targets(manifest)
-    crc = F.col("crc32")
-    if extracted.schema["crc32"].dataType == StringType():
-        crc = F.conv(crc, 16, 10).cast("bigint")
-    there = (
-        extracted.select(
-            "archive",
-            names.normalize_path(F.col("path")).alias("target"),
-            F.struct("path", F.col("size").alias("found_size"), crc.alias("found_crc32")).alias("file"),
-        )
-        .groupBy("archive", "target")
-        .agg(F.min("file").alias("file"))
-        .select("archive", "target", "file.found_size", "file.found_crc32", F.lit(True).alias("exists"))
-    )
+    there = _one_per_target(
+        extracted, F.col("size").alias("found_size"), _checksum(extracted).alias("found_crc32")
+    ).select("archive", "target", "file.found_size", "file.found_crc32", F.lit(True).alias("exists"))
     joined = wanted.join(there, ["archive", "target"], "left").withColumn(
         "missing", F.col("exists").isNull() & (F.col("format") == "zip") & F.col("member").isNotNull()
     )
@@ -106,22 +111,19 @@ def resume_plan(manifest: DataFrame, done: DataFrame, extracted: DataFrame) -> D
     size from the manifest and, for zip, the recorded checksum. Members of other archives
     that would leave the target folder are never extracted. Manifest rows without member,
     of archives that could not be read, give no action.
+
+    Names agree by their normal form, as extraction writes them; ``done`` and ``extracted``
+    have crc32 as a number or as hexadecimal text.
     """
     manifest = manifest.filter(F.col("member").isNotNull())
     is_zip = F.col("format") == "zip"
     target = F.when(is_zip, names.sanitize_member(F.col("member"))).otherwise(F.col("member"))
-    recorded = done.select(
-        "archive",
-        F.col("path").alias("target"),
-        F.col("crc32").alias("recorded_crc32"),
-        F.lit(True).alias("recorded"),
-    )
-    there = extracted.select(
-        "archive",
-        F.col("path").alias("target"),
-        F.col("size").alias("found_size"),
-        F.col("crc32").alias("found_crc32"),
+    recorded = _one_per_target(done, _checksum(done).alias("recorded_crc32")).select(
+        "archive", "target", "file.recorded_crc32", F.lit(True).alias("recorded")
     )
+    there = _one_per_target(
+        extracted, F.col("size").alias("found_size"), _checksum(extracted).alias("found_crc32")
+    ).select("archive", "target", "file.found_size", "file.found_crc32")
     expected = F.when(is_zip, F.col("recorded_crc32"))
     agrees = (F.col("found_size") == F.col("size")) & (
         expected.isNull() | (F.col("found_crc32") == expected)
@@ -133,7 +135,7 @@ def resume_plan(manifest: DataFrame, done: DataFrame, extracted: DataFrame) -> D
         .otherwise("re-extract")
     )
     return (
-        manifest.withColumn("target", target)
+        manifest.withColumn("target", names.normalize_path(target))
         .join(recorded, ["archive", "target"], "left")
         .join(there, ["archive", "target"], "left")
         .select("archive", "member", action.alias("action"))

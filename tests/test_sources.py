@@ -155,6 +155,18 @@ def test_from_archive_and_folder_to_verdict(spark, tmp_path):
     assert jobs.verify_export_archives(spark, str(archives_at), twice).count() == 4
 
 
+def test_resume_with_digests_of_the_library(spark):
+    manifest = spark.createDataFrame(
+        [("a.zip", "zip", "A/u\u0308.jpg", 5, 7), ("a.zip", "zip", "A/x.jpg", 5, 255), ("a.zip", "zip", "A/new.jpg", 1, 1)],
+        "archive string, format string, member string, size bigint, crc32 bigint")
+    done = spark.createDataFrame([("a.zip", "A/\u00fc.jpg", 5, 7), ("a.zip", "A/x.jpg", 5, 255)],
+                                 "archive string, path string, size bigint, crc32 bigint")
+    found = spark.createDataFrame([("a.zip", "A/\u00fc.jpg", 5, "00000007"), ("a.zip", "A/u\u0308.jpg", 5, "00000007"),
+                                   ("a.zip", "A/x.jpg", 5, "000000fe")], "archive string, path string, size bigint, crc32 string")
+    rows = sorted((r.member, r.action) for r in archives.resume_plan(manifest, done, found).collect())
+    assert rows == [("A/new.jpg", "extract"), ("A/u\u0308.jpg", "skip"), ("A/x.jpg", "re-extract")]
+
+
 def test_no_sidecar_is_lost(spark, tmp_path):
     text = '{"title":"T","photoTakenTime":{"timestamp":"1609459200"},"people":[{"name":"Ann"}]}'
     base = "Takeout/Google Photos/"
