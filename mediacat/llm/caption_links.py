@@ -23,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from mediacat.llm.components import components, lookup, release
+from mediacat.llm.components import Scratch, components, lookup, release
 from mediacat.llm.prefix_tree import PrefixTree
 from mediacat.llm.shingles import shingle_sets, signature
-from mediacat.session import checkpointed
 
 _CELL_BITS = 20
 _CHUNK_CELLS = 1024
@@ -55,15 +54,17 @@ def caption_links(
     counts = _counts(captions, shingle_words)
     ranks = np.minimum(np.log2(counts + 1) * 1400, 65535).astype(_U)
     shared = captions.sparkSession.sparkContext.broadcast(ranks)
-    heads = checkpointed(_heads(captions, shared, shingle_words, numerator, denominator))
-    total = heads.count()
-    release(heads.sparkSession)
-    ids = heads.select("media_item_id", "n_shingles", "signature")
-    classes = checkpointed(
+    result, scratch = Scratch(captions.sparkSession), Scratch(captions.sparkSession)
+    heads = scratch.keep(_heads(captions, shared, shingle_words, numerator, denominator))
+    ids = result.keep(heads.select("media_item_id", "n_shingles", "signature"))
+    total = ids.count()
+    shared.destroy()
+    release(ids.sparkSession)
+    classes = scratch.keep(
         ids.filter("signature IS NOT NULL").groupBy("signature")
         .agg(F.min("media_item_id").alias("first_id"), F.count("*").alias("n"))
     )
-    links, weights = _join(captions, heads, classes, shingle_words, numerator, denominator)
+    links, weights = _join(captions, heads, classes, scratch, shingle_words, numerator, denominator)
     rooted = components(links).select(F.col("node").alias("signature"), "component")
     known = (
         classes.join(rooted, "signature", "left").join(weights, "signature", "left")
@@ -73,15 +74,16 @@ def caption_links(
             (F.coalesce("weight", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         )
     )
-    known = checkpointed(known)
+    known = scratch.keep(known)
     smallest = known.groupBy("component").agg(
         F.min("first_id").alias("component_id"), F.count("*").alias("n")
     )
-    smallest = checkpointed(smallest)
-    classes = checkpointed(
+    smallest = scratch.keep(smallest)
+    classes = result.keep(
         lookup(known.withColumnRenamed("n", "copies"), smallest, "component", total)
         .withColumnRenamed("copies", "n").select("signature", "n", "n_links", "component_id")
     )
+    scratch.drop_all()
     linked = lookup(ids.filter("signature IS NOT NULL"), classes, "signature", total)
     columns = ["media_item_id", "n_shingles", "n_links", "component_id"]
     blank = ids.filter("signature IS NULL").select(
@@ -233,7 +235,7 @@ def _forest(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names[tops[hung]]), pa.array(names[hung])], names=["a", "b"])
 
 
-def _join(captions, heads, classes, size, numerator, denominator) -> tuple[DataFrame, DataFrame]:
+def _join(captions, heads, classes, scratch, size, numerator, denominator) -> tuple[DataFrame, DataFrame]:
     """(a, b) that span the linked sets of each family, and (signature, weight) with the
     rows of other sets that each set links with."""
     copies = classes.select("signature", F.col("n").alias("copies"))
@@ -242,7 +244,7 @@ def _join(captions, heads, classes, size, numerator, denominator) -> tuple[DataF
     def family(links: DataFrame) -> DataFrame:
         members = components(links).withColumnRenamed("node", "signature").join(copies, "signature")
         sizes = heads.select("signature", "n_shingles").distinct()
-        return checkpointed(members.join(sizes, "signature"))
+        return scratch.keep(members.join(sizes, "signature"))
 
     def near(rows: dict, key: tuple) -> pa.RecordBatch:
         return _near(rows, key, numerator, denominator)
@@ -252,17 +254,20 @@ def _join(captions, heads, classes, size, numerator, denominator) -> tuple[DataF
 
     wide = family(_candidates(heads, numerator, denominator))
     release(captions.sparkSession)
-    closer = checkpointed(_by_family(wide, heads.select("signature", F.col("head").alias("tokens")), near))
+    closer = scratch.keep(_by_family(wide, heads.select("signature", F.col("head").alias("tokens")), near, scratch))
+    scratch.drop(wide)
     release(captions.sparkSession)
     members = family(closer.filter("a <> b").select("a", "b"))
+    scratch.drop(closer)
     release(captions.sparkSession)
-    met = checkpointed(_by_family(members, _sets(captions, members, size), linked))
+    met = scratch.keep(_by_family(members, _sets(captions, members, size), linked, scratch))
+    scratch.drop(members)
     release(captions.sparkSession)
     weights = met.groupBy(F.col("b").alias("signature")).agg(F.sum("weight").alias("weight"))
     return met.filter("a <> b").select("a", "b"), weights
 
 
-def _by_family(members: DataFrame, tokens: DataFrame, link) -> DataFrame:
+def _by_family(members: DataFrame, tokens: DataFrame, link, scratch: Scratch) -> DataFrame:
     """``link`` of the members of every family with their ``tokens`` (signature, tokens).
 
     A large family is cut into blocks by hash, and every two of its blocks meet.
@@ -273,7 +278,7 @@ def _by_family(members: DataFrame, tokens: DataFrame, link) -> DataFrame:
     hot = F.when((F.col("n") >= 256) & (share >= 1 / 64), F.ceil(_HOT_BLOCKS * F.sqrt(share)))
     few = F.greatest(F.ceil(F.col("volume") / _BLOCK_TOKENS), hot)
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("volume"))
-    sizes = checkpointed(sizes.select("component", "n", few.cast("int").alias("blocks")))
+    sizes = scratch.keep(sizes.select("component", "n", few.cast("int").alias("blocks")))
     release(members.sparkSession)
     block = F.pmod(F.xxhash64("signature"), F.col("blocks")).cast("int")
     kept = ["signature", "n_shingles", "component", "copies", "block"]

@@ -3,16 +3,50 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediacat.session import checkpointed
+from mediacat.session import shared_folder
+from mediacat.sources.storage import Storage
 
 HOT_KEYS = 256
 
 
+class Scratch:
+    """Tables of intermediate steps in the shared folder, removed when no longer read.
+
+    Unlike a checkpoint, which first computes everything and then again to write it, a table
+    takes one job, and is smaller.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name = spark, f"scratch-{uuid.uuid4().hex}"
+        self._storage = Storage(spark, shared_folder(spark))
+        self._folders: dict[int, str] = {}
+        self._made = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._made += 1
+        folder = f"{self.name}/{self._made}"
+        path = f"{shared_folder(self.spark)}/{folder}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._folders[id(kept)] = folder
+        kept._scratch = self  # an id is not used again while the frame lives
+        return kept
+
+    def drop(self, *kept: DataFrame) -> None:
+        for df in kept:
+            self._storage.remove(self._folders.pop(id(df)))
+
+    def drop_all(self) -> None:
+        self._folders.clear()
+        self._storage.remove(self.name)
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join on ``key``, where few keys may hold most rows of ``left``.
 
@@ -73,29 +107,33 @@ def components(edges: DataFrame) -> DataFrame:
     links, no rows. Nodes must not be NULL.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    current = checkpointed(edges.select(low.alias("a"), high.alias("b")).distinct())
+    scratch = Scratch(edges.sparkSession)
+    current = scratch.keep(edges.select(low.alias("a"), high.alias("b")).distinct())
     with one_plan(edges.sparkSession, current.count()):
-        return _hang(current)
+        return _hang(current, scratch)
 
 
-def _hang(current: DataFrame) -> DataFrame:
+def _hang(current: DataFrame, scratch: Scratch) -> DataFrame:
     """The components of links with a <= b, none of them twice."""
+    before = None
     loops = current.filter("a = b").select(F.col("a").alias("node"))
     stars = current.filter("a <> b")
     while (links := _unfinished(stars)):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        nearest = checkpointed(
+        nearest = scratch.keep(
             both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
             .select("a", F.least("a", "m").alias("m"), "n")
         )
-        large = checkpointed(lookup(stars, nearest, "a", 2 * links).filter("b <> m").select("m", "b"))
-        nearest = checkpointed(
+        large = scratch.keep(lookup(stars, nearest, "a", 2 * links).filter("b <> m").select("m", "b"))
+        least = scratch.keep(
             large.groupBy("b").agg(F.min("m").alias("least"), F.count("*").alias("n"))
         )
-        small = lookup(large, nearest, "b", links)
+        small = lookup(large, least, "b", links)
         again = small.filter("m <> least").select(F.col("least").alias("a"), F.col("m").alias("b"))
         hung = small.select(F.col("least").alias("a"), "b")
-        stars = checkpointed(again.unionByName(hung).distinct())
+        stars = scratch.keep(again.unionByName(hung).distinct())
+        scratch.drop(nearest, large, least, *([before] if before is not None else []))
+        before = stars
         release(stars.sparkSession)
     roots = stars.select(F.col("b").alias("node"), F.col("a").alias("component"))
     own = stars.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("component"))
