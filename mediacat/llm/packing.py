@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from mediacat.session import checkpointed
 
-_ADJACENT = re.compile(r"\s\s")
 _TAIL = "%$#&*!,.|"
 _CACHE_ENTRIES = 500_000
 _MAX_BUCKETS = 4096
@@ -76,20 +75,22 @@ class CaptionEncoder:
 
     The splitter of byte-level vocabularies never joins the two sides of a space that
     stands between two other characters, so a text without adjacent white space is looked
-    up word by word; all other texts are encoded as a whole. Both give the same ids.
+    up word by word; all other texts are encoded as a whole, those too in which a token
+    of the vocabulary that the splitter leaves uncut is written out. Both give the same ids.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._tokenizer.encode_special_tokens = True
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._whole = re.compile("|".join([r"\s\s", *(re.escape(t.content) for t in added)]))
         self._first = _Parts(self._tokenizer, "")
         self._rest = _Parts(self._tokenizer, " ", self._first)
 
     def __call__(self, text: str) -> bytes:
         parts = text.split(" ")
-        if "" in parts or _ADJACENT.search(text):
+        if "" in parts or self._whole.search(text):
             ids = self._tokenizer.encode(text, add_special_tokens=False).ids
             return array("I", ids).tobytes()
         return self._first[parts[0]] + b"".join(map(self._rest.__getitem__, parts[1:]))
@@ -111,7 +112,8 @@ def cut_captions(
     every row gives at least one piece. Only captions above ``capacity`` are cut: the
     first piece takes what is left over when the others are full, or is full itself.
     ``tokens`` holds the ids as little-endian unsigned 32-bit numbers, ``start`` counts
-    the ids before the piece. Repeated ids of media stay separate rows.
+    the ids before the piece. Repeated ids of media stay separate rows. A special token
+    written out in a caption is that token, as in a plain call of the tokenizer.
     """
     end = array("I", [end_id]).tobytes()
     kind = media_items.schema["media_item_id"].dataType

@@ -13,13 +13,12 @@ from mediacat.llm.queries import vocabulary_file
 TEXTS = [
     None, "", "a", " ", "two  spaces", "line\nbreak and\n more", "\n", "ends with space ",
     "Licence 2.0, no.\nNext 's don't we'll", "x" * 3000, "ab cd " * 900 + "e", "tab\tand nbsp a  b",
-    "<|endoftext|> inside", "Ciónmente### las%%% déjà|vu &&& 12,5 a,b c.. d!!", "end.\n\nstart", "emoji \U0001f600 ok x",
+    "<|endoftext|> inside", "a <|endoftext|> b", "x<|endoftext|>y\nz", "<|endoftext|><|endoftext|>", "<|endoftext| >", "Ciónmente### las%%% déjà|vu &&& 12,5 a,b c.. d!!", "end.\n\nstart", "emoji \U0001f600 ok x",
 ]
 
 
 def test_ids_equal_those_of_the_tokenizer():
     tokenizer = Tokenizer.from_file(vocabulary_file())
-    tokenizer.encode_special_tokens = True
     encode = packing.CaptionEncoder(vocabulary_file())
     random.seed(5)
     made = ["".join(random.choices("ab é,.!%\n\t'1 |", k=40)) for _ in range(3000)]
@@ -48,7 +47,6 @@ def test_pack(spark):
     items = spark.createDataFrame(rows, "media_item_id bigint, google_description string, tokens string")
     got = packing.pack_captions(items, vocabulary_file(), 2, 256).collect()
     tokenizer = Tokenizer.from_file(vocabulary_file())
-    tokenizer.encode_special_tokens = True
     total = 0
     pieces = {}
     for r in got:
@@ -96,7 +94,6 @@ def test_plan_places_all(seed):
 
 def test_ids_of_whole_documents(spark):
     tokenizer = Tokenizer.from_file(vocabulary_file())
-    tokenizer.encode_special_tokens = True
     encode = packing.CaptionEncoder(vocabulary_file())
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
         want = tokenizer.encode(r.text or "", add_special_tokens=False).ids
