@@ -31,25 +31,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(scored.filter(F.col("toxicity") < TOXIC_FROM), docs)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a table with a number of its own for each row, for ids may be missing or repeated.
+
+    The numbers are drawn once, when the table is written.
+    """
+    return registry.written(docs.withColumn("row_key", F.monotonically_increasing_id()))
+
+
+def _by_key(numbered: DataFrame) -> DataFrame:
+    return numbered.select(F.col("row_key").alias("media_item_id"), F.col("text").alias("google_description"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that with the smallest id, of repeated rows one.
 
-    Documents with NULL ids stay.
+    NULL ids come last, texts decide between rows of one id. Rows under one id with texts
+    that are not linked all stay.
     """
-    linked = caption_links.caption_links(_items(docs), shingle_words=5, numerator=8, denominator=10)
-    gone = linked.filter(F.col("media_item_id") != F.col("component_id"))
-    gone = gone.select(F.col("media_item_id").alias("doc_id")).distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    numbered = _numbered(docs.dropDuplicates(["doc_id", "text"]))
+    linked = caption_links.caption_links(_by_key(numbered), shingle_words=5, numerator=8, denominator=10)
+    grouped = registry.written(linked.select(F.col("media_item_id").alias("row_key"), "component_id"))
+    named = grouped.join(numbered.select("row_key", "doc_id", F.xxhash64("text").alias("tie")), "row_key")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "row_key")
+    first = named.groupBy("component_id").agg(F.min_by("row_key", order).alias("row_key")).select("row_key")
+    return numbered.join(first, "row_key", "left_semi").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage. Documents with NULL ids are told by text."""
+    """Documents without a benchmark passage; a row goes for its own text, whatever its id."""
     benchmark = registry.table(spark, sf_dir, "benchmark").select("item_id", "text")
-    named = docs.filter("doc_id IS NOT NULL")
-    leaks = heldout_leaks.find_leaks(_items(named), benchmark).select(F.col("media_item_id").alias("doc_id"))
-    kept = named.join(leaks.distinct(), "doc_id", "left_anti")
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    numbered = _numbered(docs)
+    leaks = heldout_leaks.find_leaks(_by_key(numbered), benchmark).select(F.col("media_item_id").alias("row_key"))
+    return numbered.join(leaks.distinct(), "row_key", "left_anti").select(docs.columns)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
