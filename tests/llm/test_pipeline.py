@@ -56,3 +56,18 @@ def test_odd_documents(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.collect() == []
+
+
+def test_rows_are_told_apart_whatever_their_ids(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r.text or "").split()) > 20)
+    clean = "a quiet walk along the river with seven friends and two dogs on a late sunday afternoon"
+    other = "nothing of this list has been said before by anyone who lives in the small house there"
+    rows = [(7, clean), (7, item), (None, item), (None, other), (8, clean), (None, clean), (9, None), (9, None), (7, clean)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    clear = pipeline.drop_leaks(spark, docs, SF)
+    got = sorted(((r.doc_id, r.text) for r in clear.collect()), key=str)
+    assert got == sorted([r for r in rows if r[1] != item], key=str)
+    alone = pipeline.drop_near_copies(spark, docs, SF)
+    got = sorted(((r.doc_id, r.text) for r in alone.collect()), key=str)
+    assert got == sorted([(7, clean), (7, item), (None, other), (9, None)], key=str)
