@@ -2,9 +2,10 @@
 
 Every place where a caption and a held-out text share a shingle puts a window of that text's
 size over the caption. Windows and held-out texts get SimHash fingerprints of their weighted
-shingles. A multi-index of fingerprint blocks finds every pair within the radius: two
-fingerprints that differ in at most ``radius`` bits agree in at least one of ``radius`` + 1
-blocks. Weighted shingle similarity then decides. A window without a shared shingle has
+shingles. A multi-index of fingerprint blocks finds every pair within the radius: of two
+fingerprints that differ in at most ``radius`` bits, one of four blocks differs in at most
+a fourth of them. The held-out side lists all block values that near, so the join is by
+equality on window width, block and value. Weighted shingle similarity then decides. A window without a shared shingle has
 similarity 0, so leaving out such windows loses nothing.
 
 Built-in functions only. Captions are read once, and only windows are shuffled, equal ones
@@ -23,9 +24,11 @@ from mediacat.llm.license_notices import notice_words
 from mediacat.session import checkpointed
 
 SHINGLE_WORDS = 5
-_FIELD_BITS = 22
+_FIELD_BITS = 26
 _BROADCAST_ROWS = 200_000
 _BITS = 64
+_BLOCKS = 4
+_BLOCK_BITS = _BITS // _BLOCKS
 
 
 def _hash_at(size: int):
@@ -55,17 +58,19 @@ def held_out_shingles(held_out: DataFrame) -> DataFrame:
 def _bit_field(seeds: DataFrame, count: int) -> tuple[Column, int]:
     """A literal array of longs with two bits set for each hash, and the number of its bits.
 
-    It has 64 bits for each of ``count`` hashes, up to a fixed number; it only spares work.
+    It has 64 bits or more for each of ``count`` hashes, up to a fixed number of bits (8 MB),
+    and only spares work: with five million hashes 2 % of all others pass it.
     """
     bits = 1 << min(_FIELD_BITS, max(16, (64 * count).bit_length()))
     slots = F.array(*[_slot(F.col("hash"), probe, bits) for probe in (0, 1)])
     words = seeds.select(F.explode(slots).alias("slot")).select(
-        F.shiftright("slot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, int(slot & 63))").alias("bit")
-    ).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        F.shiftright("slot", 6).alias("id"), F.expr("shiftleft(1L, int(slot & 63))").alias("bit")
+    ).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    found = words.toArrow()  # at most the fixed number of words
     field = np.zeros(bits // 64, np.int64)
-    for row in words.collect():  # at most the fixed number of words
-        field[row.word] = row.bits
-    return F.lit(field), bits
+    field[found.column("id").to_numpy()] = found.column("bits").to_numpy()
+    # one text that Spark turns into the array while planning: a list would pass number by number
+    return F.split(F.lit(",".join(map(str, field.tolist()))), ",").cast("array<bigint>"), bits
 
 
 def _slot(h: Column, probe: int, bits: int) -> Column:
@@ -79,8 +84,8 @@ def _in_field(field: Column, bits: int, h: Column) -> Column:
 
 
 def caption_windows(media_items: DataFrame, items: DataFrame) -> DataFrame:
-    """(media_item_id, row, start, words): windows of captions that share a shingle with a
-    held-out text, aligned to it and of its size, cut at the ends of the caption."""
+    """(media_item_id, row, start, width, words): windows of captions that share a shingle
+    with a held-out text of ``width`` words, aligned to it, cut at the ends of the caption."""
     seeds = items.select(
         F.size("w").alias("width"), "size", F.posexplode("hashes").alias("q", "hash")
     ).distinct()
@@ -113,12 +118,10 @@ def caption_windows(media_items: DataFrame, items: DataFrame) -> DataFrame:
     start = F.greatest(F.col("at") - F.col("q"), F.lit(0))
     end = F.col("at") - F.col("q") + F.col("width")
     windows = around.join(seeds, ["hash", "size"]).select(
-        "media_item_id", "row", start.alias("start"),
+        "media_item_id", "row", start.alias("start"), "width",
         F.slice("words", start - F.col("begin") + 1, end - start).alias("words"),
     )
-    return windows.groupBy("row", "media_item_id", "start", F.size("words").alias("width")).agg(
-        F.first("words").alias("words")
-    ).drop("width")
+    return windows.groupBy("row", "media_item_id", "start", "width").agg(F.first("words").alias("words"))
 
 
 def fingerprints(texts: DataFrame, weights: DataFrame, unseen: float) -> DataFrame:
@@ -132,34 +135,40 @@ def fingerprints(texts: DataFrame, weights: DataFrame, unseen: float) -> DataFra
     return summed.select("key", F.shiftleft(high, 32).bitwiseOR(low).alias("fingerprint"))
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of radius + 1 blocks that make up the fingerprint."""
-    cuts = [round(i * _BITS / (radius + 1)) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def _block(name: str, i: int) -> Column:
+    return F.shiftrightunsigned(name, i * _BLOCK_BITS).bitwiseAND((1 << _BLOCK_BITS) - 1)
 
 
-def _block_values(radius: int) -> Column:
-    part = [F.shiftrightunsigned("fingerprint", a).bitwiseAND((1 << n) - 1) for a, n in _blocks(radius)]
-    return F.array(*part)
+def _reach(radius: int) -> int:
+    """Bits that the nearest of the blocks differs in at most."""
+    return radius // _BLOCKS
+
+
+def meetings(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+    """(key, item, fingerprint, other, block): prints of one width with a block in common
+    up to ``_reach(radius)`` bits. A pair may meet in several blocks."""
+    near = [m for m in range(1 << _BLOCK_BITS) if m.bit_count() <= _reach(radius)]
+    values = F.array(*[_block("fingerprint", i) for i in range(_BLOCKS)])
+    a = left.select("key", "width", "fingerprint", F.posexplode(values).alias("block", "value"))
+    own = F.array(*[_block("other", i) for i in range(_BLOCKS)])
+    b = right.select("item", "width", F.col("fingerprint").alias("other")).select(
+        "item", "width", "other", F.posexplode(own).alias("block", "exact")
+    ).select("item", "width", "other", "block", "exact", F.explode(F.lit(near)).alias("change"))
+    b = b.select("item", "width", "other", "block", F.col("exact").bitwiseXOR(F.col("change")).alias("value"))
+    return a.join(b, ["width", "block", "value"]).select("key", "item", "fingerprint", "other", "block")
 
 
 def within_radius(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
-    """(key, item) of all fingerprints of ``left`` and ``right`` within ``radius`` bits.
+    """(key, item) of all fingerprints of ``left`` and ``right`` of one width within ``radius`` bits.
 
-    A pair that agrees in several blocks is met at the first of them only.
+    A pair that meets in several blocks is reported at the first of them only.
     """
-    a = left.withColumn("values", _block_values(radius)).select(
-        "key", "fingerprint", F.posexplode("values").alias("block", "value")
-    )
-    b = right.withColumn("others", _block_values(radius)).select(
-        "item", F.col("fingerprint").alias("other"), F.posexplode("others").alias("block", "value")
-    )
     differ = F.col("fingerprint").bitwiseXOR(F.col("other"))
-    first = F.lit(radius + 1)
-    for i, (at, n) in reversed(list(enumerate(_blocks(radius)))):
-        first = F.when(F.shiftrightunsigned(differ, at).bitwiseAND((1 << n) - 1) == 0, F.lit(i)).otherwise(first)
-    met = a.join(b, ["block", "value"]).filter((F.bit_count(differ) <= radius) & (first == F.col("block")))
-    return met.select("key", "item")
+    first = F.lit(_BLOCKS)
+    for i in reversed(range(_BLOCKS)):
+        first = F.when(F.bit_count(_block("differ", i)) <= _reach(radius), F.lit(i)).otherwise(first)
+    met = meetings(left, right, radius).withColumn("differ", differ)
+    return met.filter((F.bit_count("differ") <= radius) & (first == F.col("block"))).select("key", "item")
 
 
 def find_leaks(
@@ -182,17 +191,21 @@ def find_leaks(
     weights = checkpointed(frequency.select("hash", (1 + F.log((F.lit(total) + 1) / (F.col("df") + 1))).alias("weight")))
     unseen = 1 + math.log(total + 1)  # the weight of a shingle that no held-out text has
     windows = checkpointed(
-        caption_windows(media_items, items).withColumn("key", F.xxhash64(F.array_join("words", " ")))
+        caption_windows(media_items, items).withColumn("key", F.xxhash64(F.array_join("words", " "), "width"))
     )
-    counts = checkpointed(windows.groupBy("key").agg(F.count("*").alias("n"), F.first("words").alias("w")))
+    counts = checkpointed(windows.groupBy("key").agg(
+        F.count("*").alias("n"), F.first("width").alias("width"), F.first("words").alias("w")
+    ))
     few = F.least(F.size("w"), F.lit(SHINGLE_WORDS))
     hashes = F.lit(None).cast("array<bigint>")
     for size in range(1, SHINGLE_WORDS + 1):
         hashes = F.when(few == size, _shingles(size)).otherwise(hashes)
     texts = checkpointed(counts.select("key", hashes.alias("hashes")))
-    prints = checkpointed(fingerprints(texts, weights, unseen))
+    prints = checkpointed(fingerprints(texts, weights, unseen).join(counts.select("key", "width"), "key"))
     own = items.select(F.col("item").alias("key"), "hashes")
-    item_prints = checkpointed(fingerprints(own, weights, unseen).withColumnRenamed("key", "item"))
+    widths = items.select("item", F.size("w").alias("width"))
+    item_prints = fingerprints(own, weights, unseen).withColumnRenamed("key", "item")
+    item_prints = checkpointed(item_prints.join(widths, "item"))
     pairs = checkpointed(within_radius(prints, item_prints, radius))
     sides = pairs.join(texts, "key").join(items.select("item", F.col("hashes").alias("others")), "item")
     every = sides.select(

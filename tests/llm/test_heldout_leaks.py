@@ -77,13 +77,31 @@ def test_index_finds_all_within_radius(spark):
         for bit in rnd.sample(range(64), rnd.randint(0, 20)):
             x ^= 1 << bit
         b.append((i, x - 2**64 if x >= 2**63 else x))
-    left = spark.createDataFrame(a, "key bigint, fingerprint bigint")
-    right = spark.createDataFrame(b, "item bigint, fingerprint bigint")
+    left = spark.createDataFrame([(k, x, 5) for k, x in a], "key bigint, fingerprint bigint, width int")
+    right = spark.createDataFrame([(i, y, 5) for i, y in b], "item bigint, fingerprint bigint, width int")
     got = sorted(map(tuple, leaks.within_radius(left, right, 15).collect()))
     want = sorted((k, i) for k, x in a for i, y in b if bin((x ^ y) & (2**64 - 1)).count("1") <= 15)
     assert got == want
 
 
+def test_few_pairs_meet(spark):
+    """Random prints of 5,000 items in 40 widths: a window meets under 1 % of the items."""
+    rnd = random.Random(3)
+    some = lambda n: [(i, rnd.getrandbits(64) - 2**63, 20 + rnd.randrange(40)) for i in range(n)]
+    left = spark.createDataFrame(some(2000), "key bigint, fingerprint bigint, width int")
+    right = spark.createDataFrame(some(5000), "item bigint, fingerprint bigint, width int")
+    assert leaks.meetings(left, right, 15).count() < 0.01 * 2000 * 5000
+
+
+def test_field_holds_all_hashes(spark):
+    seeds = spark.range(3000).select(leaks.F.xxhash64("id").alias("hash"))
+    field, bits = leaks._bit_field(seeds, 3000)
+    others = spark.range(10**6, 10**6 + 20_000).select(leaks.F.xxhash64("id").alias("hash"))
+    inside = leaks._in_field(field, bits, leaks.F.col("hash"))
+    assert seeds.filter(inside).count() == 3000
+    assert others.filter(inside).count() < 200
+
+
 def test_nothing(spark):
     frame = spark.createDataFrame([(1, "a b c d e f")], "media_item_id bigint, google_description string")
     held = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
