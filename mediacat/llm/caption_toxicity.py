@@ -2,7 +2,7 @@
 
 A disguised word is taken for a noisy reading of a plain one. Its characters open a lattice:
 digits and signs stand for the letters they resemble, a run of one letter for one or two of
-it, single letters with separators for a word. A Viterbi search finds the most probable
+it, and between short parts a separator stands for nothing or for the end of a word. A Viterbi search finds the most probable
 plain word under a character trigram model, which is counted over all captions. Words and
 word beginnings that mark toxic captions are then learnt from labelled ones, and a logistic
 model turns what a caption has of them into its score.
@@ -28,10 +28,16 @@ _SIGNS = "@$!|+€"
 _OTHER = 27
 _CLASSES = 28
 _NOISE = math.log(0.05)  # a letter written as a lookalike, or repeated
-_SPELT = re.compile(r"(?<!\S)[^\W\d_](?:[ .*_-][^\W\d_]){2,}(?![^\s.,;:!?])")
+_JOINED, _ENDED = math.log(0.7), math.log(0.3)  # a separator that means nothing, or the end of a word
+_SEPARATORS = " .*_/-"
+_SEPARATOR, _OTHER_SEPARATOR = re.compile(f"[{re.escape(_SEPARATORS)}]"), re.compile(f"[{re.escape(_SEPARATORS[1:])}]")
+_PART = rf"[^\W_]|[{re.escape(_SIGNS)}]"
+_SPELT = re.compile(rf"(?<!\S)(?:{_PART}){{1,2}}(?:[{re.escape(_SEPARATORS)}](?:{_PART}){{1,2}}){{2,}}(?![^\s.,;:!?])")
 _MIXED = re.compile(rf"[^\W\d_][0-9{re.escape(_SIGNS)}]|[0-9{re.escape(_SIGNS)}][^\W\d_]|([^\W\d_])\1\1")
 _WORDS = re.compile(r"[^\W_]+")
 _CACHE_ENTRIES = 400_000
+_CACHED_LETTERS = 64
+_TAIL = "!?.,;:*#%&$|+\"')]}"
 _PREFIXES = (3, 4, 5, 6)
 
 
@@ -75,32 +81,47 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
 
 def _class_of(letter: str) -> int:
     code = ord(letter) - 96
-    return code if 1 <= code <= 26 else _OTHER
+    return code if 1 <= code <= 26 else 0 if letter == " " else _OTHER
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """The most probable plain form of a word in lower case."""
-    lattice: list[list[tuple[str, float]]] = []
-    for run in re.finditer(r"(.)\1*", word, re.DOTALL):
+def lattice(written: str) -> list[list[tuple[str, float]]]:
+    """For each sign, or run of one letter, what it may stand for and at what cost."""
+    columns: list[list[tuple[str, float]]] = []
+    for run in re.finditer(r"(.)\1*", written, re.DOTALL):
         sign, length = run[1], len(run[0])
         if sign in LOOKALIKES:
-            lattice += [[(x, _NOISE) for x in LOOKALIKES[sign]]] * (1 if length > 2 else length)
+            columns += [[(x, _NOISE) for x in LOOKALIKES[sign]]] * (1 if length > 2 else length)
         elif sign.isalpha():
-            lattice.append([(sign * length, 0.0)] if length < 3 else [(sign, _NOISE), (sign * 2, _NOISE)])
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in [*lattice, [("", 0.0)]]:
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in paths.items():
+            columns.append([(sign * length, 0.0)] if length < 3 else [(sign, _NOISE), (sign * 2, _NOISE)])
+        elif sign == " ":
+            columns.append([("", _JOINED), (" ", _ENDED)])
+    return columns
+
+
+def restore(written: str, model: np.ndarray) -> str:
+    """The most probable plain form of a word in lower case.
+
+    A space in ``written`` is a separator, which may be kept or left out.
+    """
+    # (score, letters so far as linked nodes) of the best way to each pair of last classes
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for options in [*lattice(written), [(" ", 0.0)]]:
+        ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, node) in paths.items():
             for letters, cost in options:
                 x, y, total = a, b, score + cost
-                for letter in letters or " ":
-                    z = _class_of(letter) if letters else 0
+                for letter in letters:
+                    z = _class_of(letter)
                     total += float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in ahead or ahead[x, y][0] < total:
-                    ahead[x, y] = (total, text + letters)
+                    ahead[x, y] = (total, (node, letters) if letters else node)
         paths = ahead
-    return max(paths.values())[1]
+    node, found = max(paths.values(), key=lambda p: p[0])[1], []
+    while node is not None:
+        node, letters = node
+        found.append(letters)
+    return "".join(reversed(found)).strip()
 
 
 class _Marks(dict):
@@ -108,6 +129,7 @@ class _Marks(dict):
 
     def __init__(self, model: np.ndarray, weights: dict[str, float] | None):
         self.model, self.weights = model, weights
+        self.spelt: dict[str, list[str]] = {}
 
     def __missing__(self, word: str):
         if len(self) >= _CACHE_ENTRIES:
@@ -124,18 +146,35 @@ class _Marks(dict):
         return value
 
     def forms(self, word: str) -> list[str]:
-        core = word.rstrip("!?.,;:*#%&$|+\"')]}").lstrip("!?.,;:*#%&|+\"'([{")
+        core = word.rstrip(_TAIL).lstrip("!?.,;:*#%&|+\"'([{")
         plain = _WORDS.findall(core)
         if not core or not _MIXED.search(core):
             return plain
         return [*plain, restore(core, self.model)]
 
+    def joined(self, spelt: str) -> list[str]:
+        """The words of a run of short parts. Spaces end words if other separators are there too."""
+        if not any(c.isalpha() for c in spelt):
+            return []
+        if len(spelt) > _CACHED_LETTERS:
+            return self._join(spelt)
+        if spelt not in self.spelt:
+            if len(self.spelt) >= _CACHE_ENTRIES:
+                self.spelt.clear()
+            self.spelt[spelt] = self._join(spelt)
+        return self.spelt[spelt]
+
+    def _join(self, spelt: str) -> list[str]:
+        run = spelt.rstrip(_TAIL)
+        parts = run.split(" ") if _OTHER_SEPARATOR.search(run) else [run]
+        return [w for p in parts for w in restore(_SEPARATOR.sub(" ", p), self.model).split()]
+
     def of(self, text: str | None) -> list:
-        """The values of the distinct words of a text, those spelt letter by letter too."""
+        """The values of the distinct words of a text, those spelt in parts too."""
         low = (text or "").lower()
         words = set(low.split())
         for spelt in _SPELT.finditer(low):
-            words.add("".join(c for c in spelt[0] if c.isalpha()))
+            words.update(self.joined(spelt[0]))
         return [self[w] for w in words]
 
 

@@ -1,12 +1,15 @@
 """Restored words, and held-out accuracy of the toxicity score."""
 
+import itertools
+import random
+
 import numpy as np
 import pytest
 
 from mediacat.llm import caption_toxicity as toxicity
 from mediacat.llm.queries import QUERIES
 
-WORDS = "the idiot was stupid and a loser in trash moron worthless clown pathetic scum total of this".split()
+WORDS = "the idiot was stupid and a loser in trash moron worthless clown pathetic scum total of this you are man".split()
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +33,30 @@ def test_spelt_words(model):
     assert not any(marks.of("a b or not, i do it")) and marks.of(None) == []
 
 
+@pytest.mark.parametrize("written,words", [
+    ("you are a s t u p i d man", {"a", "stupid"}), ("y o u i d i o t", {"you", "idiot"}), ("i d 1 o t", {"idiot"}),
+    ("i/d/i/o/t", {"idiot"}), ("st.up.id", {"stupid"}), ("l 0 s e r", {"loser"}), ("so: m_o_r_o_n!", {"moron"}),
+])
+def test_separators(model, written, words):
+    marks = toxicity._Marks(model, None)
+    found = set().union(*marks.of(written))
+    assert {"=" + w for w in words} <= found
+
+
+def test_best_way_through_small_lattices(model):
+    rnd = random.Random(6)
+    for _ in range(60):
+        written = "".join(rnd.choices("idotsu10!  aa", k=rnd.randint(1, 8))).strip()
+        best = -np.inf
+        for way in itertools.product(*toxicity.lattice(written)):
+            text = "".join(x for x, _ in way) + " "
+            classes = [0, 0, *map(toxicity._class_of, text)]
+            score = sum(c for _, c in way) + sum(model[t] for t in zip(classes, classes[1:], classes[2:]))
+            if score > best + 1e-9:
+                best, want = score, text.strip()
+        assert toxicity.restore(written, model) == want, written
+
+
 def test_counts_cover_all_captions(spark):
     rows = [("ab",)] * 7 + [("ab cd",)]
     counts = toxicity.trigram_counts(spark.createDataFrame(rows, "google_description string"))
