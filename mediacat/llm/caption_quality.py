@@ -3,6 +3,10 @@
 One classifier sees only the text, the other only the metadata of the item. In rounds, each
 labels the unlabelled items it is surest of, and the other one learns from them too. The
 views are then calibrated on labels that neither has learnt from, and added up.
+
+All unlabelled items take part where they lie. How sure is sure enough is a quantile over
+all of them, and what they add to the gradient of a view is summed up on Spark; the driver
+sees these sums and a bounded sample of labelled items.
 """
 
 from __future__ import annotations
@@ -15,9 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from mediacat.llm.caption_toxicity import fit_logistic
+from mediacat.llm.components import Scratch
 from mediacat.llm.shingles import word_hashes
 
 _BUCKETS = 32
+_WORD_BUCKETS = 128
+_F = np.float32
 
 
 def _byte_classes() -> np.ndarray:
@@ -32,7 +39,8 @@ _CLASSES = int(_CLASS.max()) + 1
 
 
 def text_features(texts: list[str | None]) -> np.ndarray:
-    """Per text: shares of byte classes, and how its words repeat. Whole texts count."""
+    """Per text: shares of byte classes, how its words repeat, and shares of hashed words and
+    pairs of words. Whole texts count."""
     raw = [(t or "").encode() for t in texts]
     bounds = np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -40,12 +48,14 @@ def text_features(texts: list[str | None]) -> np.ndarray:
     counts = np.bincount(owner * _CLASSES + _CLASS[data], minlength=len(raw) * _CLASSES).reshape(len(raw), _CLASSES)
     size = np.maximum(np.diff(bounds), 1)[:, None]
     words, first = word_hashes(data, bounds)
-    more = np.zeros((len(raw), 4))
+    more, hashed = np.zeros((len(raw), 3)), np.zeros((len(raw), _WORD_BUCKETS))
     for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
         own = words[a:b]
         n = max(1, len(own))
-        more[i] = (len(np.unique(own)) / n, (own[1:] == own[:-1]).sum() / n, np.log1p(len(own)) / 10, size[i, 0] / n / 10)
-    return np.c_[np.sqrt(counts / size), more]
+        more[i] = (len(np.unique(own)) / n, (own[1:] == own[:-1]).sum() / n, size[i, 0] / n / 10)
+        grams = np.r_[own, own[:-1] * np.uint64(3) + own[1:]] % np.uint64(_WORD_BUCKETS)
+        hashed[i] = np.bincount(grams.astype(np.int64), minlength=_WORD_BUCKETS) / (2 * n)
+    return np.c_[np.sqrt(counts / size), more, np.sqrt(hashed)]
 
 
 def metadata_features(columns: list[pa.Array]) -> np.ndarray:
@@ -68,28 +78,97 @@ def _logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
+def claims(history: list[tuple], views: list[np.ndarray]) -> tuple[list[tuple], np.ndarray]:
+    """What each view labels in each round (-1: nothing), and which rows none has labelled.
+
+    A round is the weights of both views and the logits up to and from which they are sure.
+    """
+    left, rounds = np.ones(len(views[0]), bool), []
+    for weights, cuts in history:
+        sure = []
+        for x, w, (low, high) in zip(views, weights, cuts):
+            logits = np.round(_logits(x, w), 9)  # equal rows stay equal
+            label = np.where(logits <= low, 0, np.where(logits >= high, 1, -1))
+            sure.append(np.where(left & (low < high), label, -1))
+        rounds.append(tuple(sure))
+        left &= (sure[0] < 0) & (sure[1] < 0)
+    return rounds, left
+
+
+class Pool:
+    """The unlabelled items: a table of the features of both views."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    @staticmethod
+    def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(batch.column(c).to_pylist()), _F).reshape(batch.num_rows, -1).astype(float) for c in ("text", "other")]
+
+    def cuts(self, history: list[tuple], weights: list[np.ndarray], low: float, high: float) -> list[tuple] | None:
+        """For each view the quantiles ``low`` and ``high`` of the rows not yet labelled; None without any."""
+        views_of = self._views
+
+        def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    views = views_of(batch)
+                    left = claims(history, views)[1]
+                    found = [np.round(_logits(x, w), 9)[left] for x, w in zip(views, weights)]
+                    yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["a", "b"])
+
+        found = self.table.mapInArrow(logits, "a double, b double")
+        row = found.agg(*[F.percentile_approx(c, [low, high], 10_000).alias(c) for c in ("a", "b")]).first()
+        return None if row.a is None else [tuple(row.a), tuple(row.b)]
+
+    def gradients(self, history: list[tuple], weights: list[np.ndarray]) -> dict[tuple, tuple[float, np.ndarray]]:
+        """(view, round, label): how many rows the other view gave that label, and their sum of
+        the gradient of ``weights``."""
+        views_of = self._views
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                views = views_of(batch)
+                for r, labels in enumerate(claims(history, views)[0]):
+                    for v in (0, 1):
+                        for label in (0, 1):
+                            x = views[v][labels[1 - v] == label]
+                            p = 1 / (1 + np.exp(-np.clip(_logits(x, weights[v]), -30, 30)))
+                            own = np.r_[len(x), (p - label) @ x, (p - label).sum()]
+                            sums[v, r, label] = sums.get((v, r, label), 0) + own
+            for (v, r, label), own in sums.items():
+                n = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, k, np.int32)) for k in (v, r, label)] + [pa.array(np.arange(n, dtype=np.int32)), pa.array(own)],
+                    names=["v", "r", "label", "at", "x"],
+                )
+
+        found = self.table.mapInArrow(add, "v int, r int, label int, at int, x double")
+        found = found.groupBy("v", "r", "label", "at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")
+        whole = {k: g["x"].to_numpy() for k, g in found.groupby(["v", "r", "label"])}
+        return {k: (x[0], x[1:]) for k, x in whole.items()}
+
+
 class CoTrained:
     """The two views and what joins them."""
 
-    def __init__(self, views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int, share: float):
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, pool: Pool, rounds: int, share: float, steps: int = 3):
         learn = np.arange(len(y)) % 5 != 0  # the fifth part is kept for calibration
-        sets = [[v[learn], y[learn]] for v in views]
-        left = np.ones(len(pool[0]), bool)
-        rate = min(max(float(y[learn].mean()), 0.01), 0.99)
+        own, t = [v[learn] for v in views], y[learn]
+        rate = min(max(float(t.mean()), 0.01), 0.99)
+        weights, history = [fit_logistic(x, t, 1.0) for x in own], []
         for _ in range(rounds):
-            weights = [fit_logistic(x, t, 1.0) for x, t in sets]
-            new = []
-            for v in (0, 1):
-                at = np.flatnonzero(left)
-                order = at[np.argsort(_logits(pool[v][at], weights[v]), kind="stable")]
-                n = int(share * len(left))
-                low, high = order[: int(n * (1 - rate))], order[::-1][: int(n * rate)]
-                new.append((np.r_[low, high], np.r_[np.zeros(len(low)), np.ones(len(high))]))
-            for v in (0, 1):  # what one view is sure of, the other learns
-                some, labels = new[1 - v]
-                sets[v] = [np.r_[sets[v][0], pool[v][some]], np.r_[sets[v][1], labels]]
-            left[np.r_[new[0][0], new[1][0]]] = False
-        self.weights = [fit_logistic(x, t, 1.0) for x, t in sets]
+            cuts = pool.cuts(history, weights, share * (1 - rate), 1 - share * rate)
+            if cuts is None:
+                break
+            history = [*history, (list(weights), cuts)]
+            for _ in range(steps):
+                given = pool.gradients(history, weights)
+                weights = [self._step(v, own[v], t, weights[v], given, share, rate) for v in (0, 1)]
+        self.weights = weights
         held = np.c_[tuple(_logits(v[~learn], w) for v, w in zip(views, self.weights))]
         target = y[~learn]
         if not 0 < target.sum() < len(target):
@@ -98,6 +177,25 @@ class CoTrained:
         both = np.c_[tuple(_logits(held[:, [v]], w) for v, w in enumerate(self.single))]
         self.joint = fit_logistic(both, target)
 
+    @staticmethod
+    def _step(view: int, x: np.ndarray, t: np.ndarray, w: np.ndarray, given: dict, share: float, rate: float) -> np.ndarray:
+        """One step down the gradient of labelled rows and of rows that the other view labelled.
+
+        The curvature is that of the labelled rows, scaled by the weight of all. The rows of
+        a round weigh together as much as ``share`` of the labelled ones, however many they
+        are and whatever ties took part.
+        """
+        x = np.c_[x, np.ones(len(x))]
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient, mass = x.T @ (p - t) + w, 1.0
+        for (v, _, label), (n, total) in given.items():
+            if v == view and n:
+                part = share * (rate if label else 1 - rate)
+                gradient += part * len(t) / n * total
+                mass += part
+        curvature = x.T @ (x * (p * (1 - p))[:, None]) + np.eye(len(w))
+        return w - np.linalg.solve(mass * curvature, gradient)
+
     def scores(self, text: np.ndarray, metadata: np.ndarray) -> np.ndarray:
         """Calibrated text score, metadata score and joint score, (item, 3)."""
         single = [_logits(_logits(x, w)[:, None], s) for x, w, s in zip((text, metadata), self.weights, self.single)]
@@ -107,28 +205,25 @@ class CoTrained:
 
 def score_quality(
     media_items: DataFrame, marks: DataFrame, metadata: list[str], most_labelled: int = 8_000,
-    most_unlabelled: int = 8_000, rounds: int = 4, share: float = 0.05,
+    rounds: int = 4, share: float = 0.05,
 ) -> DataFrame:
     """(media_item_id, text_score, metadata_score, score, predicted) of every item.
 
     Scores are probabilities that google_description is of good quality; ``predicted`` is 1
     from a score of 0.5. ``marks`` (media_item_id, quality 0 or 1) are the labels, of which
-    at most ``most_labelled`` by hash of the id are used, and as many as
-    ``most_unlabelled`` items without label. ``metadata`` names the columns of the other
-    view. Each round moves ``share`` of the unlabelled from either view to the other.
-    NULL and empty captions and NULL metadata have features like any other. Without labels
-    of both kinds all scores are the smoothed share of good ones. Repeated rows and NULL
-    ids are kept. No rows, no rows.
+    at most ``most_labelled`` by hash of the id are used; all items without label are.
+    ``metadata`` names the columns of the other view. In each round either view labels
+    ``share`` of the unlabelled for the other; of equal rows all or none. NULL and empty
+    captions and NULL metadata have features like any other. Without labels of both kinds
+    all scores are the smoothed share of good ones. Repeated rows and NULL ids are kept.
+    Columns not named are ignored, whatever their names. No rows, no rows.
     """
     items = media_items.select("media_item_id", "google_description", *metadata)
     labels = marks.filter(F.col("quality").isin(0, 1) & F.col("media_item_id").isNotNull())
     labels = labels.groupBy("media_item_id").agg(F.min("quality").cast("int").alias("quality"))
-    by_hash = [F.xxhash64("media_item_id"), F.col("media_item_id")]
-    labelled = labels.orderBy(*by_hash).limit(most_labelled)
-    others = items.select("media_item_id").filter("media_item_id IS NOT NULL").join(labels, "media_item_id", "left_anti")
-    others = others.distinct().orderBy(*by_hash).limit(most_unlabelled)
-    chosen = labelled.unionByName(others.select("media_item_id", F.lit(-1).alias("quality")))
-    sample = items.join(F.broadcast(chosen), "media_item_id")  # at most the two bounds
+    labelled = labels.orderBy(F.xxhash64("media_item_id"), "media_item_id").limit(most_labelled)
+    sample = items.join(F.broadcast(labelled), "media_item_id")  # at most the bound
+    others = items.join(labels, "media_item_id", "left_anti").withColumn("quality", F.lit(-1))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,20 +232,23 @@ def score_quality(
                 text = text_features(part.column("google_description").to_pylist())
                 other = metadata_features([part.column(c) for c in metadata])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("media_item_id").cast(pa.string()), part.column("quality"), pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in other], pa.binary())],
+                    [part.column("media_item_id").cast(pa.string()), part.column("quality"), pa.array([r.astype(_F).tobytes() for r in text], pa.binary()), pa.array([r.astype(_F).tobytes() for r in other], pa.binary())],
                     names=["id", "quality", "text", "other"],
                 )
 
-    found = sample.mapInArrow(features, "id string, quality int, text binary, other binary").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    kinds = "id string, quality int, text binary, other binary"
+    found = sample.mapInArrow(features, kinds).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     y = found.column("quality").to_numpy()
     model, prior = None, 0.5
     if (y == 0).any() and (y == 1).any():
-        text, other = (np.frombuffer(b"".join(found.column(c).to_pylist())).reshape(len(y), -1) for c in ("text", "other"))
-        known = np.flatnonzero(y >= 0)
-        known = known[np.random.default_rng(2).permutation(len(known))]
-        model = CoTrained([text[known], other[known]], y[known].astype(float), [text[y < 0], other[y < 0]], rounds, share)
+        order = np.random.default_rng(2).permutation(len(y))
+        views = [np.frombuffer(b"".join(found.column(c).to_pylist()), _F).reshape(len(y), -1).astype(float)[order] for c in ("text", "other")]
+        scratch = Scratch(media_items.sparkSession)
+        pool = Pool(scratch.keep(others.mapInArrow(features, kinds).select("text", "other")))
+        model = CoTrained(views, y[order].astype(float), pool, rounds, share)
+        scratch.drop_all()
     else:
-        prior = float(((y == 1).sum() + 0.5) / ((y >= 0).sum() + 1))
+        prior = float(((y == 1).sum() + 0.5) / (len(y) + 1))
     shared = media_items.sparkSession.sparkContext.broadcast(model)
     names = ["text_score", "metadata_score", "score"]
     schema = T.StructType(

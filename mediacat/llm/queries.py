@@ -220,10 +220,10 @@ def op3_language_id(spark, sf_dir):
 def op4_quality_classifier(spark, sf_dir):
     items = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("media_item_id"), F.col("text").alias("google_description"),
-        F.col("source").alias("album_id"), F.col("lang").alias("language"), F.col("n_chars").alias("size"),
+        F.col("source").alias("album_id"), F.col("lang").alias("language"),
     )
     marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("media_item_id"), "quality")
-    scored = caption_quality.score_quality(items, marks, ["album_id", "language", "size"])
+    scored = caption_quality.score_quality(items, marks, ["album_id", "language"])
     return scored.withColumnRenamed("media_item_id", "doc_id")
 
 

@@ -10,14 +10,40 @@ SF = "/root/testdata/sf0.1"
 
 def test_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(
-        F.col("doc_id").alias("media_item_id"), F.col("text").alias("google_description"), F.col("source").alias("album_id"), F.col("n_chars").alias("size"))
+        F.col("doc_id").alias("media_item_id"), F.col("text").alias("google_description"), F.col("source").alias("album_id"), F.col("lang").alias("language"))
     labels = spark.read.parquet(f"{SF}/labels.parquet").select(F.col("doc_id").alias("media_item_id"), "quality")
     train = labels.filter("media_item_id % 3 <> 0")
-    scored = quality.score_quality(docs, train, ["album_id", "size"])
+    scored = quality.score_quality(docs, train, ["album_id", "language"])
     rows = scored.join(labels.filter("media_item_id % 3 = 0"), "media_item_id").collect()
     right = np.mean([r.predicted == r.quality for r in rows])
     kept = np.mean([r.predicted for r in rows if r.quality])
     assert right >= 0.95 and kept >= 0.97
+    for single in ("text_score", "metadata_score"):
+        assert right >= np.mean([(r[single] >= 0.5) == r.quality for r in rows])
+
+
+def test_all_unlabelled_take_part(spark):
+    """Sums over the pool equal those of its rows in one place, ties included."""
+    rng = np.random.default_rng(4)
+    views = [rng.normal(size=(500, 6)).round(1), rng.integers(0, 2, (500, 3)).astype(float)]
+    rows = [tuple(bytearray(v[i].astype(np.float32).tobytes()) for v in views) for i in range(500)]
+    pool = quality.Pool(spark.createDataFrame(rows, "text binary, other binary").repartition(7))
+    weights = [rng.normal(size=7), rng.normal(size=4)]
+    views = [v.astype(np.float32).astype(float) for v in views]
+    history = []
+    for _ in range(2):
+        cuts = pool.cuts(history, weights, 0.1, 0.9)
+        left = quality.claims(history, views)[1]
+        for v in (0, 1):
+            logits = np.sort((views[v] @ weights[v][:-1] + weights[v][-1])[left])
+            assert np.allclose(cuts[v], [logits[-(-len(logits) // 10) - 1], logits[-(-9 * len(logits) // 10) - 1]])
+        history.append((weights, cuts))
+    got = pool.gradients(history, weights)
+    labels = quality.claims(history, views)[0]
+    for (v, r, label), (n, total) in got.items():
+        x = views[v][labels[r][1 - v] == label]
+        p = 1 / (1 + np.exp(-(x @ weights[v][:-1] + weights[v][-1])))
+        assert n == len(x) and np.allclose(total, np.r_[(p - label) @ x, (p - label).sum()])
 
 
 def test_odd_rows(spark):
