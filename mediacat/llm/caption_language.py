@@ -134,7 +134,7 @@ class ByteNetwork:
             ahead = up * z + np.einsum("dbk,dhk->dbh", d_y, w["state"])
         return float(loss), g
 
-    def train(self, chunks: np.ndarray, labels: np.ndarray, epochs: int = 6, rate: float = 0.02, batch: int = 128) -> None:
+    def train(self, chunks: np.ndarray, labels: np.ndarray, epochs: int = 4, rate: float = 0.02, batch: int = 128) -> None:
         """Adam over shuffled chunks (chunk, byte) of full length."""
         rng = np.random.default_rng(1)
         mean = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -187,11 +187,12 @@ def has_letter(text: str | None) -> bool:
     return any(c.isalpha() for c in text or "")
 
 
-def learn_languages(labelled: DataFrame, most_labelled: int = 4_000, chunks_each: int = 4) -> ByteNetwork | None:
+def learn_languages(labelled: DataFrame, most_labelled: int = 1_000) -> ByteNetwork | None:
     """A network trained on (media_item_id, google_description, language).
 
     At most ``most_labelled`` captions with a language are used, taken by hash of the id,
-    and of each at most ``chunks_each`` full chunks, evenly spread. None without any.
+    and all bytes of each, in full chunks of which the last ends with the caption. NULL ids
+    are left out; of repeated ids all rows are used. None without any caption.
     """
     known = labelled.filter(F.col("language").isNotNull() & F.col("media_item_id").isNotNull())
     some = known.select("media_item_id").distinct().orderBy(F.xxhash64("media_item_id"), "media_item_id").limit(most_labelled)
@@ -206,9 +207,7 @@ def learn_languages(labelled: DataFrame, most_labelled: int = 4_000, chunks_each
                 raw = text.encode()
                 if len(raw) < _CHUNK:
                     raw = (raw + b" ") * (_CHUNK // (len(raw) + 1) + 1)
-                count = min(chunks_each, len(raw) // _CHUNK)
-                for k in range(count):
-                    at = (len(raw) - _CHUNK) * (2 * k + 1) // (2 * count)
+                for at in [*range(0, len(raw) - _CHUNK, _CHUNK), len(raw) - _CHUNK]:
                     rows.append((raw[at : at + _CHUNK], language))
             columns = list(zip(*rows)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.string())], names=["chunk", "language"])

@@ -51,6 +51,16 @@ def test_odd_rows(spark):
     assert language.predict_languages(frame.limit(0), net).collect() == []
 
 
+def test_all_bytes_are_learnt_from(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language.ByteNetwork, "train", lambda self, chunks, labels: seen.update(chunks=chunks))
+    text = "".join(chr(97 + i % 26) + str(i) for i in range(200))
+    language.learn_languages(spark.createDataFrame([(1, text, "en")], "media_item_id bigint, google_description string, language string"))
+    have = {c.tobytes() for c in seen["chunks"]}
+    raw, size = text.encode(), language._CHUNK
+    assert have == {raw[at : at + size] for at in [*range(0, len(raw) - size, size), len(raw) - size]}
+
+
 def test_fast_reading_is_the_same():
     rng = np.random.default_rng(2)
     net = language.ByteNetwork(["a", "b"])
