@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mediacat.llm.components import Scratch, components, lookup, release
 from mediacat.llm.prefix_tree import PrefixTree
@@ -186,32 +186,52 @@ def _heads(captions: DataFrame, shared, size: int, numerator: int, denominator:
 
 
 def _candidates(heads: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(a, b): signatures whose heads meet and whose sizes are within the threshold of each
-    other, each linked to the smallest of its kind instead of to all."""
-    tokens = heads.filter("head IS NOT NULL").select(
-        F.explode("head").alias("token"), F.col("n_shingles").alias("n"), "signature"
+    """(a, b): signatures whose heads meet at places that leave enough to come for the
+    threshold, each linked to the smallest of its kind instead of to all."""
+    # A set of m shingles links through a first common token at position p only if both have
+    # (m + n) * numerator / (numerator + denominator) tokens from there on. ``reach`` is the
+    # largest n for which this set has.
+    both = numerator + denominator
+    reach = F.expr(f"((n - at) * {both}) div {numerator} - n")
+    tokens = (
+        heads.filter("head IS NOT NULL").select(F.posexplode("head").alias("at", "token"), F.col("n_shingles").alias("n"), "signature")
+        .select("token", (F.shiftleft("n", 32) + reach).alias("size"), "signature")
     )
+    none = np.iinfo(np.int64).max
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = size = lead = None
+        """Runs of one token by size, each as long as something before reaches what comes.
+        A set that reaches no size of its run has no part in it."""
+        token, furthest, smallest, lead = None, 0, 0, none
         met = [np.zeros((0, 2), np.int64)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, n, s = (batch.column(k).to_numpy() for k in range(3))
-            new = np.r_[True, (t[1:] != t[:-1]) | (n[:-1] * denominator < numerator * n[1:])]
-            first = np.flatnonzero(new)
-            least = np.minimum.reduceat(s, first)
-            joins = token is not None and t[0] == token and size * denominator >= numerator * n[0]
-            if joins and lead != least[0]:
-                met.append(np.array([[lead, least[0]]], np.int64))
-            a = np.repeat(least, np.diff(np.r_[first, len(s)]))
-            token, size, lead = t[-1], n[-1], a[-1]
-            keep = a != s
+            t, size, s = (batch.column(k).to_numpy() for k in range(3))
+            n, far = size >> 32, size & 0xFFFFFFFF
+            other = np.r_[token is None or t[0] != token, t[1:] != t[:-1]]
+            group = np.cumsum(other) << 33
+            up_to = np.maximum.accumulate(np.r_[0 if other[0] else furthest, far] + np.r_[group[0], group])
+            new = other | (up_to[:-1] < group + n)
+            first = np.flatnonzero(np.r_[True, new[1:]])
+            length = np.diff(np.r_[first, len(s)])
+            least_size = n[first]
+            if not new[0]:
+                least_size[0] = smallest
+            within = far >= np.repeat(least_size, length)
+            least = np.minimum.reduceat(np.where(within, s, none), first)
+            if not new[0] and lead != none:
+                if least[0] not in (none, lead):
+                    met.append(np.array([[lead, least[0]]], np.int64))
+                if least[0] == none:
+                    least[0] = lead
+            a = np.repeat(least, length)
+            token, furthest, smallest, lead = t[-1], up_to[-1] - group[-1], least_size[-1], least[-1]
+            keep = within & (a != s)
             met.append(np.unique(np.stack([a[keep], s[keep]], axis=1), axis=0))
         yield _forest(np.concatenate(met))
 
-    dealt = tokens.repartition("token").sortWithinPartitions("token", "n", "signature")
+    dealt = tokens.repartition("token").sortWithinPartitions("token", "size", "signature")
     return dealt.mapInArrow(meet, "a bigint, b bigint")
 
 
@@ -254,21 +274,24 @@ def _join(captions, heads, classes, scratch, size, numerator, denominator) -> tu
 
     wide = family(_candidates(heads, numerator, denominator))
     release(captions.sparkSession)
-    closer = scratch.keep(_by_family(wide, heads.select("signature", F.col("head").alias("tokens")), near, scratch))
+    sent = F.expr(f"n_shingles - (n_shingles * {numerator}) div {denominator} + 1")
+    tokens = heads.select("signature", F.col("head").alias("tokens"))
+    closer = scratch.keep(_by_family(wide, tokens, sent, near, scratch))
     scratch.drop(wide)
     release(captions.sparkSession)
     members = family(closer.filter("a <> b").select("a", "b"))
     scratch.drop(closer)
     release(captions.sparkSession)
-    met = scratch.keep(_by_family(members, _sets(captions, members, size), linked, scratch))
+    met = scratch.keep(_by_family(members, _sets(captions, members, size), F.col("n_shingles"), linked, scratch))
     scratch.drop(members)
     release(captions.sparkSession)
     weights = met.groupBy(F.col("b").alias("signature")).agg(F.sum("weight").alias("weight"))
     return met.filter("a <> b").select("a", "b"), weights
 
 
-def _by_family(members: DataFrame, tokens: DataFrame, link, scratch: Scratch) -> DataFrame:
-    """``link`` of the members of every family with their ``tokens`` (signature, tokens).
+def _by_family(members: DataFrame, tokens: DataFrame, sent: Column, link, scratch: Scratch) -> DataFrame:
+    """``link`` of the members of every family with their ``tokens`` (signature, tokens),
+    of which each has ``sent``.
 
     A large family is cut into blocks by hash, and every two of its blocks meet.
     """
@@ -277,7 +300,7 @@ def _by_family(members: DataFrame, tokens: DataFrame, link, scratch: Scratch) ->
     share = F.col("n") / F.lit(float(max(found, 1)))
     hot = F.when((F.col("n") >= 256) & (share >= 1 / 64), F.ceil(_HOT_BLOCKS * F.sqrt(share)))
     few = F.greatest(F.ceil(F.col("volume") / _BLOCK_TOKENS), hot)
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("volume"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum(sent).alias("volume"))
     sizes = scratch.keep(sizes.select("component", "n", few.cast("int").alias("blocks")))
     release(members.sparkSession)
     block = F.pmod(F.xxhash64("signature"), F.col("blocks")).cast("int")
@@ -354,28 +377,31 @@ def _sets(captions: DataFrame, members: DataFrame, size: int) -> DataFrame:
 def _near(rows: dict, key: tuple, numerator: int, denominator: int) -> pa.RecordBatch:
     """Links among sets whose heads share enough for the whole sets to reach the threshold.
 
-    A token that two sets share is in both heads or behind one of them, so what they share
-    is at most what the heads share and the rest of the longer remainder.
+    Up to the end of the head that ends first, a token that two sets share is in both heads.
+    Behind that end they share at most what the one or the other still has.
     """
     heads = [row[3] for row in rows.values()]
     names, ids = np.unique(np.concatenate(heads), return_inverse=True)
-    ends = np.cumsum([len(h) for h in heads])
-    owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+    length = np.array([len(h) for h in heads])
+    ends = np.cumsum(length)
+    owner = np.repeat(np.arange(len(heads)), length)
     order = np.argsort(ids, kind="stable")
     holders = owner[order]
     first = np.searchsorted(ids[order], np.arange(len(names) + 1))
     sizes = np.array([row[1] for row in rows.values()])
-    rest = sizes - np.array([len(h) for h in heads])
+    places, last = owner * len(names) + ids, ids[ends - 1]
 
     def similar(x: int) -> np.ndarray:
-        own = ids[ends[x] - len(heads[x]) : ends[x]]
-        length = first[own + 1] - first[own]
-        begin = np.cumsum(length) - length
-        met = holders[np.repeat(first[own] - begin, length) + np.arange(length.sum())]
+        own = ids[ends[x] - length[x] : ends[x]]
+        held = first[own + 1] - first[own]
+        begin = np.cumsum(held) - held
+        met = holders[np.repeat(first[own] - begin, held) + np.arange(held.sum())]
         both = np.bincount(met, minlength=len(heads))
-        most = both + np.maximum(rest[x], rest)
-        enough = (both > 0) & (most * (numerator + denominator) >= numerator * (sizes[x] + sizes))
-        return np.flatnonzero(enough)
+        y = np.flatnonzero(both)
+        end = np.minimum(last[x], last[y])
+        passed = np.searchsorted(places, y * len(names) + end, side="right") - (ends[y] - length[y])
+        behind = np.minimum(sizes[x] - np.searchsorted(own, end, side="right"), sizes[y] - passed)
+        return y[(both[y] + behind) * (numerator + denominator) >= numerator * (sizes[x] + sizes[y])]
 
     return _joined(rows, key, similar)
 
